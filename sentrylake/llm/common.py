@@ -91,3 +91,23 @@ def extend(
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return source.mapInArrow(run, schema)
+
+
+def labelled_sample(
+    df: DataFrame, labels: DataFrame, label_col: str, allowed: Column, bound: int, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, text and y of about ``bound`` labelled rows at most, chosen by the id's hash.
+
+    ``allowed`` is a condition on the label table's id. All labelled rows are
+    taken while there are no more than the bound; null ids and labels never.
+    The chosen ids are as many as the bound, so they may be broadcast and the
+    texts are not shuffled.
+    """
+    usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & allowed)
+    one_each = usable.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
+    n = one_each.count()
+    if n > bound:
+        share = int(bound / n * (1 << 30))
+        one_each = one_each.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(one_each), "doc_id")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_trie, packing, quality_rules, sp_viterbi, token_counts
+from . import exact_trie, nbsvm, packing, quality_rules, sp_viterbi, token_counts, toxicity
 from .common import remainder, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -47,6 +47,22 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), path, limit=4096, keep=["doc_id"])
 
 
+def _held_out(fold: int, folds: int):
+    return F.coalesce(remainder(F.col("doc_id"), folds) == fold, F.lit(False)).alias("held_out")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", remainder(F.col("doc_id"), 4) != 2)
+    return toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", _held_out(2, 4), "score", "predicted")
+
+
+def op8_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = nbsvm.train(docs, table(spark, sf_dir, "labels"), "quality", remainder(F.col("doc_id"), 5) != 0)
+    return nbsvm.score(docs, model, keep=["doc_id"]).select("doc_id", _held_out(0, 5), "score", "predicted")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_documents(spark, sf_dir), public_tokenizers.path(WORD_MODEL), sequence=2048)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -59,7 +75,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_sentencepiece_viterbi, op5_token_counts, op7_packing, op10_exact_dedup)
+    for f in (op1_quality_rules, op3_sentencepiece_viterbi, op5_token_counts, op6_toxicity, op7_packing, op8_quality_nbsvm, op10_exact_dedup)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
