@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_trie, nbsvm, packing, quality_rules, sp_viterbi, token_counts, toxicity
+from . import exact_trie, jaccard_partenum, nbsvm, packing, quality_rules, sp_viterbi, token_counts, toxicity
 from .common import remainder, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -42,6 +42,11 @@ def op3_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_viterbi.digest_column(_documents(spark, sf_dir), path, keep=["doc_id"])
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_partenum.near_duplicates(_documents(spark, sf_dir), words=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(PIECE_MODEL)
     return token_counts.token_counts(_documents(spark, sf_dir), path, limit=4096, keep=["doc_id"])
@@ -75,7 +80,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_sentencepiece_viterbi, op5_token_counts, op6_toxicity, op7_packing, op8_quality_nbsvm, op10_exact_dedup)
+    for f in (op1_quality_rules, op3_sentencepiece_viterbi, op4_ngram_jaccard, op5_token_counts, op6_toxicity, op7_packing, op8_quality_nbsvm, op10_exact_dedup)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
