@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_trie, jaccard_partenum, nbsvm, packing, quality_rules, sp_viterbi, token_counts, toxicity
+from . import exact_trie, html_crf, jaccard_partenum, lm_mixing, nbsvm, packing, quality_rules, sp_viterbi, token_counts, toxicity
 from .common import remainder, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -36,6 +36,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = remainder(F.col("doc_id"), 5)
+    scored = lm_mixing.train_and_score(_documents(spark, sf_dir), fold != 1)
+    return scored.select(
+        "doc_id", _held_out(1, 5), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )
+
+
 def op3_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and checksum of each document's ids, and whether they decode to its text."""
     path = public_tokenizers.path(PIECE_MODEL)
@@ -73,6 +81,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op9_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_crf.extract(pages, keep=["page_id", "url"])
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned = exact_trie.assign(_documents(spark, sf_dir))
     return assigned.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -80,7 +93,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_sentencepiece_viterbi, op4_ngram_jaccard, op5_token_counts, op6_toxicity, op7_packing, op8_quality_nbsvm, op10_exact_dedup)
+    for f in (
+        op1_quality_rules,
+        op2_context_mixing,
+        op3_sentencepiece_viterbi,
+        op4_ngram_jaccard,
+        op5_token_counts,
+        op6_toxicity,
+        op7_packing,
+        op8_quality_nbsvm,
+        op9_html_crf,
+        op10_exact_dedup,
+    )
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
