@@ -30,8 +30,9 @@ from pyspark.sql import types as T
 
 from .common import extend, labelled_sample
 
-#: Labelled rows the fit may use; the prior's strength as a share of the counts; least z of a scored token; most scored tokens.
-BOUND, PRIOR, LEAST_Z, VOCABULARY = 60_000, 0.1, 4.0, 1 << 16
+#: Labelled rows the fit may use; the prior's strength as a share of the counts; least z and log-odds of a
+#: scored token; most scored tokens.
+BOUND, PRIOR, LEAST_Z, LEAST_ODDS, VOCABULARY = 60_000, 0.1, 3.0, 1.0, 1 << 16
 #: Cost of a token that is not scored: passages farther apart than a score's worth of it are separate.
 COST = 0.12
 #: Greatest E-value of a significant segment.
@@ -189,7 +190,7 @@ def train(
     odds = lambda n, name: F.log((F.col(name) + a) / (F.lit(n + total) - F.col(name) - a))
     delta = odds(n1, "ones") - odds(n0, "zeros")
     z = delta / F.sqrt(1 / (F.col("ones") + a) + 1 / (F.col("zeros") + a))
-    scored = counts.where("ones > 1").select("token", delta.alias("delta"), z.alias("z")).where(F.col("z") >= LEAST_Z)
+    scored = counts.where("ones > 1").select("token", delta.alias("delta"), z.alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("delta") >= LEAST_ODDS))
     top = scored.orderBy(F.desc("z"), "token").limit(VOCABULARY).collect()
     model = Model(Scores({r["token"]: float(r["delta"]) for r in top}))
     counts.unpersist()
