@@ -20,7 +20,10 @@ from __future__ import annotations
 import bisect
 import functools
 import os
+import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,19 +59,57 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.parts: dict[str, bytes] = {}
         rng = np.random.default_rng(SEED)
         self.projection = rng.standard_normal((self.tokenizer.get_vocab_size(), DIMS)).astype(np.float32)
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self) + len(words) > REMEMBERED:
-            self.clear()
         new = [w for w in words if w not in self]
+        if len(self) + len(new) > REMEMBERED:
+            self.clear()
+            new = list(words)
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        parts = self.parts
+        split = [parts_of(w) for w in new]
+        merge, rest = self.tokenizer.model.tokenize, set()
+        for x in split:
+            for p in x:
+                if p in parts:
+                    continue
+                if type(p) is bytes:
+                    rest.add(p)
+                else:  # a pre-token of its own: straight to the merges
+                    signs = p if p.isascii() else p.encode().decode("latin-1").translate(SIGNS)
+                    parts[p] = array("I", [t.id for t in merge(signs)]).tobytes()
         batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for i in range(0, len(new), AT_ONCE):
-            part = new[i : i + AT_ONCE]
-            texts = [w.decode("utf-8", "replace") for w in part]
-            for w, e in zip(part, batch(texts, add_special_tokens=False)):
-                self[w] = np.array(e.ids, dtype="<u4").tobytes()
+        whole = list(rest)
+        for i in range(0, len(whole), AT_ONCE):
+            some = whole[i : i + AT_ONCE]
+            for p, e in zip(some, batch([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)):
+                parts[p] = array("I", e.ids).tobytes()
+        for w, x in zip(new, split):
+            self[w] = parts[x[0]] if len(x) == 1 else b"".join(map(parts.__getitem__, x))
+
+
+#: Small Latin letters as far as U+017F, where lower-casing and composition change nothing of the tokenizer's.
+PLAIN = re.compile(r"[!-~\u00a1-\u017f]+")
+RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|.[^a-z0-9\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*")
+
+
+#: Byte-level signs: bytes that are not printable in Latin-1 stand for the code points from 256 on.
+SIGNS = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
+def parts_of(word: bytes) -> list:
+    """The tokenizer's own pre-tokens of a plain word; any other word whole, as bytes."""
+    if len(word) > 200 or b"<|" in word:
+        return [word]
+    low = word.decode("utf-8", "replace")
+    if not PLAIN.fullmatch(low):
+        return [word]
+    low = low.lower()
+    return RUNS.findall(low) if PLAIN.fullmatch(low) and unicodedata.is_normalized("NFC", low) else [word]
 
 
 @functools.lru_cache(maxsize=2)
