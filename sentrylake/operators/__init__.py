@@ -1 +1 @@
-
+"""Operators: column builders and DataFrame functions."""
