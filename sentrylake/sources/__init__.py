@@ -1 +1 @@
-
+"""Readers of logs, bundles, rules and prompts."""
