@@ -42,7 +42,7 @@ BITS = (22, 22, 18)
 STARTS = np.cumsum([0, *(1 << b for b in BITS)])
 SLOTS = int(STARTS[-1])
 #: Slots of one shipped table block; characters handled at once; the rank of a broadcast token's share.
-PAGE, BLOCK, HOT = 1 << 14, 8_000_000, 19
+PAGE, BLOCK, HOT = 1 << 14, 2_500_000, 19
 #: Added to both counts of a slot; step of the gradient; bytes of one step; bytes of a single word in the word table.
 SMOOTH, RATE, PART, DEEP = np.float32(0.2), 0.15, 40_000, 5
 #: Evidence bins: upper ends of n; gates of the document stage by log2 of the words so far.
@@ -108,14 +108,16 @@ class Bytes:
         backward = np.cumprod(np.full(n, BACK, np.uint64)) * np.uint64(STEP)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(d * backward)[:-1]])
         prefix = (sums - sums[at]) * forward[at]
+        del forward, backward, sums
         last = np.zeros(n, np.uint64)
-        orders = []
         for k in range(1, 5):
             shifted = np.zeros(n, np.uint64)
             shifted[k:] = d[:-k]
-            last = last * np.uint64(257) + np.where(place >= k, shifted, np.uint64(0))
-            orders.append(last)
-        contexts = [prefix * K1 + place.astype(np.uint64), orders[3] * K1 + K3, orders[1] * K3 + K1]
+            shifted[place < k] = 0
+            last = last * np.uint64(257) + shifted
+            if k == 2:
+                two = last * K3 + K1
+        contexts = [prefix * K1 + place.astype(np.uint64), last * K1 + K3, two]
         high = (self.data >> 4).astype(np.uint64) + np.uint64(1)
         self.bases = []  # per context: the 16-slot groups of both nibbles
         for h, bits, start in zip(contexts, BITS, STARTS):
@@ -367,8 +369,6 @@ def _add_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(df: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model of all rows' texts, and the table of token counts (token, key, n)."""
     learned = materialise(df.select(F.col(text_col).alias("text")).mapInArrow(_learn, LEARNED), "mixing-learned", partition_by="kind")
-    if learned.isEmpty():
-        learned = df.sparkSession.createDataFrame([], LEARNED)
     pages = learned.where("kind = 1").select("page", "data").repartition("page").sortWithinPartitions("page")
     stretch, evidence = np.zeros(SLOTS, np.float16), np.zeros(SLOTS, np.uint8)
     for r in pages.mapInArrow(_add_pages, "page int, data binary").toLocalIterator():
