@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrylake.llm import exact_trie, jaccard_partenum, packing, quality_rules, toxicity
-from sentrylake.llm.common import materialise, remainder, table
+from sentrylake.llm.common import discard, materialise, remainder, table
 
 #: A document at or above this score is rejected as toxic.
 TOXIC_CUT = 0.3
@@ -63,5 +63,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        discard(before)
     return docs

@@ -41,8 +41,26 @@ def materialise(df: DataFrame, tag: str, codec: str = "zstd", partition_by: str
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", codec)
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    back = spark.read.schema(df.schema) if partition_by is None else spark.read
-    return back.parquet(path)
+    fields = [f for f in df.schema.fields if f.name != partition_by] + [f for f in df.schema.fields if f.name == partition_by]
+    back = spark.read.schema(T.StructType(fields)).parquet(path)
+    back._shared_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialise`` wrote, once nothing reads them any more.
+
+    The driver's garbage is collected as well: Spark drops the shuffle files of
+    plans that nobody holds only then.
+    """
+    for df in tables:
+        path = getattr(df, "_shared_path", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def row_key() -> Column:

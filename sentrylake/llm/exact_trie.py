@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_case, materialise, row_key
+from .common import discard, fold_case, materialise, row_key
 
 #: Bytes of text a map-side trie may hold before it spills a subtree.
 TRIE_BYTES = 64 << 20
@@ -200,8 +200,13 @@ def owners(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return dealt.mapInArrow(_final, OWNERS)
 
 
-def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: row, doc_id, keep_id, group_size, kept, text_sha256."""
+def assign(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: list[DataFrame] | None = None
+) -> DataFrame:
+    """One row per input row: row, doc_id, keep_id, group_size, kept, text_sha256.
+
+    The shared-folder tables the result reads are added to ``tables``.
+    """
     keys = materialise(
         df.select(
             row_key().alias("row"),
@@ -211,6 +216,8 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "trie-keys",
     )
     own = materialise(owners(df, id_col, text_col).where("group_size > 1"), "trie-owners")
+    if tables is not None:
+        tables += [keys, own]
     # An owner of at least one row in 2^16 is one of at most 2^16 owners: that part may be broadcast.
     share = keys.count() >> 16
     hot, cold = own.where(F.col("group_size") > share), own.where(F.col("group_size") <= share)
@@ -240,5 +247,8 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows and columns without the copies; ``df`` must be a table scan."""
-    dropped = assign(df, id_col, text_col).where(~F.col("kept")).select(F.col("row").alias("__row"))
+    tables: list[DataFrame] = []
+    assigned = assign(df, id_col, text_col, tables)
+    dropped = materialise(assigned.where(~F.col("kept")).select(F.col("row").alias("__row")), "trie-dropped")
+    discard(*tables)
     return df.withColumn("__row", row_key()).join(dropped, "__row", "left_anti").select(*df.columns)
