@@ -9,11 +9,11 @@ signature: no link is lost. Signatures meet in buckets; candidates are pruned by
 sizes and by a parity sketch (whose distance never exceeds the sets'), and the
 rest are verified on their whole texts.
 
-Equal sets are one class from the start. A bucket first proposes each member
-with the bucket's smallest member only; buckets that still hold several
-components afterwards are compared within themselves, block by block, and only
-pairs across components that pass the pruning are verified. Links become
-components by distributed label propagation.
+Equal sets are one class from the start. First each class is proposed with the
+smallest class of its buckets only; buckets that still hold several components
+afterwards are compared within themselves, block by block, and only pairs
+across components that pass the pruning are verified. Links become components
+by distributed label propagation.
 
 Defined cases: null text, empty text and text without words have an empty set,
 n_shingles 0, and are linked with nothing; a null doc_id takes part and never
@@ -36,10 +36,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key
+from .common import discard, materialise, row_key
 
 #: Width of a size band, least shingles a signature should stand on, sketch words of 64 bits, rows of a compared block.
-BAND, ELEMENTS, SKETCH, BLOCK = 1.25, 7.0, 8, 2048
+BAND, ELEMENTS, SKETCH, BLOCK = 1.25, 3.2, 8, 2048
+#: Rounds in which each class is proposed with its nearest one, before all remaining pairs are.
+ROUNDS = 3
 REMEMBERED = 700_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -109,24 +111,31 @@ class Bands:
         return [band, band + 1] if reach >= self.low(band + 1) else [band]
 
     @functools.lru_cache(maxsize=None)
-    def plan(self, band: int) -> tuple[int, int, np.ndarray] | None:
-        """First-level and second-level partitions and the subsets, as rows of 0 and 1; None if only equal sets link."""
-        high = self.low(band + 1) - 1
+    def plan(self, band: int) -> tuple[int, int, np.ndarray, int] | None:
+        """First-level and second-level partitions, the subsets as rows of 0 and 1, and the spare first-level ones.
+
+        With ``spare`` more first-level partitions than the guarantee needs, a set
+        in which at most so many hold an empty subset need not sign its empty
+        subsets: one of the agreeing partitions has none. None if only equal sets link.
+        """
+        low, high = self.low(band), self.low(band + 1) - 1
         k = self.most(high, high)
         if k == 0:
             return None
         best = None
-        for k2 in range(3):
-            n1 = math.ceil((k + 1) / (k2 + 1))
+        for k2 in range(1, 3):
             for n2 in range(k2 + 1, k2 + 4):
-                signatures = n1 * math.comb(n2, k2)
-                stands_on = self.low(band) / (n1 * n2) * (n2 - k2)
-                rank = (0, signatures, -stands_on) if stands_on >= ELEMENTS else (1, -stands_on, signatures)
+                subsets = math.comb(n2, k2)
+                n1 = math.ceil((k + 1) / (k2 + 1))
+                stands_on = low / (n1 * n2) * (n2 - k2)
+                spare = math.ceil(2.5 * n1 * min(1.0, subsets * math.exp(-stands_on))) + 1 if n1 > 3 else 0
+                n1 += spare
+                rank = (0, n1 * subsets, -stands_on) if stands_on >= ELEMENTS else (1, -stands_on, n1 * subsets)
                 if best is None or rank < best[0]:
-                    best = (rank, n1, n2, k2)
-        _, n1, n2, k2 = best
-        subsets = [[0 if i in left else 1 for i in range(n2)] for left in itertools.combinations(range(n2), k2)]
-        return n1, n2, np.array(subsets, dtype=np.uint64)
+                    best = (rank, n1, n2, k2, spare)
+        _, n1, n2, k2, spare = best
+        chosen = [[0 if i in left else 1 for i in range(n2)] for left in itertools.combinations(range(n2), k2)]
+        return n1, n2, np.array(chosen, dtype=np.uint64), spare
 
 
 @functools.lru_cache(maxsize=8)
@@ -140,13 +149,15 @@ def signatures(found: np.ndarray, percent: int) -> np.ndarray:
         plan = rules.plan(band)
         if plan is None:
             continue
-        n1, n2, subsets = plan
+        n1, n2, subsets, spare = plan
         part = ((found * K[1]) >> np.uint64(33)) % np.uint64(n1 * n2)
         sums = np.zeros(n1 * n2, np.uint64)
         np.add.at(sums, part.astype(np.intp), mix(found ^ K[2]))
         each = sums.reshape(n1, n2) @ subsets.T  # first-level partition by subset
         place = np.arange(each.size, dtype=np.uint64).reshape(each.shape) + np.uint64(band << 32)
-        out.append(mix(each + mix(place * K[3] + K[0])).ravel())
+        signed = mix(each + mix(place * K[3] + K[0]))
+        empty = np.bincount(part.astype(np.intp), minlength=n1 * n2).reshape(n1, n2) @ subsets.T.astype(np.int64) == 0
+        out.append(signed[~empty] if empty.any(axis=1).sum() <= spare else signed.ravel())
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -256,8 +267,8 @@ def _near(a: str, b: str, percent: int) -> Column:
     return (apart <= most) & (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= most)
 
 
-def _compare(percent: int):
-    """Pairs across components of one block pair that sizes and sketches allow.
+def _compare(percent: int, nearest: bool):
+    """Pairs across components of one block pair that sizes and sketches allow, all or each member's nearest.
 
     Columns: sign, i, j, side (0: of block i, 1: of block j), key, part, n, sketch words.
     """
@@ -274,14 +285,16 @@ def _compare(percent: int):
                 if not len(rest):
                     continue
                 most = (n[rest] + n[x]) * (100 - percent) // (100 + percent)
-                rest = rest[np.bitwise_count(bits[rest] ^ bits[x]).sum(axis=1) <= most]
-                if len(rest):
-                    a, b = np.minimum(key[rest], key[x]), np.maximum(key[rest], key[x])
-                    out.append((b, a))
+                apart = np.bitwise_count(bits[rest] ^ bits[x]).sum(axis=1).astype(np.int64)
+                near = np.flatnonzero(apart <= most)
+                if nearest and len(near):
+                    near = near[np.argmin(apart[near])][None]
+                if len(near):
+                    other = key[rest[near]]
+                    out.append((np.maximum(other, key[x]), np.minimum(other, key[x]), np.full(len(near), key[x]), apart[near]))
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([o[0] for o in out])), pa.array(np.concatenate([o[1] for o in out]))],
-                    names=["key", "pivot"],
+                    [pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names=["key", "pivot", "by", "apart"]
                 )
 
     return run
@@ -308,6 +321,7 @@ def _verify(words: int, percent: int):
 
 def components(links: DataFrame, tag: str = "components") -> DataFrame:
     """key, part: the smallest key reachable over links (a, b), by label propagation with jumps."""
+    spare: list[DataFrame] = []
     both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{tag}-links")
     labels = both.groupBy(F.col("a").alias("key")).agg(F.least(F.col("key"), F.min("b")).alias("part"))
     labels = materialise(labels, f"{tag}-labels")
@@ -318,28 +332,39 @@ def components(links: DataFrame, tag: str = "components") -> DataFrame:
         jump = step.join(labels.select(F.col("key").alias("part"), F.col("part").alias("further")), "part", "left")
         step = jump.select("key", "old", F.least("part", F.coalesce("further", "part")).alias("part"))
         step = materialise(step, f"{tag}-labels")
+        spare.append(labels)
         labels = step.select("key", "part")
+        labels._shared_path = step._shared_path
         if step.where("part <> old").isEmpty():
+            discard(both, *spare)
             return labels
 
 
 def near_duplicates(
-    df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame,
+    words: int = 5,
+    percent: int = 80,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    tables: list[DataFrame] | None = None,
 ) -> DataFrame:
     """One row per input row: row, doc_id, n_shingles, class_rows, component_id
     and component (a key of the component, null for an empty set).
 
     Documents link when 100 * intersection >= percent * union of their sets of
     ``words``-word shingles (the whole sequence where there are fewer words).
+    The shared-folder tables the result reads are added to ``tables``.
     """
     spark = df.sparkSession
-    base = materialise(sets_table(df, words, percent, id_col, text_col), "partenum-sets")
     sketch_columns = [f"s{i}" for i in range(SKETCH)]
-    signs = base.where(F.size("signs") > 0).select(F.explode("signs").alias("sign"), "key")
+    sets = materialise(sets_table(df, words, percent, id_col, text_col), "partenum-sets")
+    signs = sets.where(F.size("signs") > 0).select(F.explode("signs").alias("sign"), "key")
     buckets = materialise(
         signs.repartition("sign").sortWithinPartitions("sign", "key").mapInArrow(_buckets, "sign long, key long, pivot long"),
         "partenum-buckets",
     )
+    base = materialise(sets.drop("signs"), "partenum-rows")
+    discard(sets)
     members = base.where("key IS NOT NULL").groupBy("key").agg(
         F.min("doc_id").alias("first_id"),
         F.count(F.lit(1)).alias("class_rows"),
@@ -362,48 +387,91 @@ def near_duplicates(
         held = materialise(texts.join(rows, "first_row").select("key", "text"), "partenum-texts")
         other = held.select(F.col("key").alias("pivot"), F.col("text").alias("other"))
         joined = close.join(held, "key").join(other, "pivot").select("key", "pivot", "text", "other")
-        return joined.mapInArrow(_verify(words, percent), "a long, b long")
-
-    pairs = materialise(buckets.select("key", "pivot").distinct(), "partenum-pairs")
-    links = materialise(verified(pairs), "partenum-links")
+        found = materialise(joined.mapInArrow(_verify(words, percent), "a long, b long"), "partenum-links")
+        discard(close, held)
+        return found
+
+    # One proposal per class: with one smallest member in most of its buckets, a group of copies becomes a star.
+    pairs = materialise(
+        buckets.groupBy("key").agg(F.min("pivot").alias("low")).select(F.col("key"), F.col("low").alias("pivot")),
+        "partenum-pairs",
+    )
+    links = verified(pairs)
     parts = components(links)
-    # Buckets that still hold several components: compared within themselves.
     all_rows = buckets.select("sign", "key").union(buckets.select("sign", F.col("pivot").alias("key")).distinct())
-    named = all_rows.join(parts, "key", "left").select("sign", "key", F.coalesce("part", "key").alias("part"))
-    named = materialise(named, "partenum-named")
-    mixed = (
-        named.groupBy("sign")
-        .agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("m"))
-        .where("low <> high AND m > 2")  # two members were compared already
-        .select("sign", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    )
-    rows = named.join(mixed, "sign").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    rows = rows.join(members.select("key", "n", *sketch_columns), "key")
-    partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("partner")
-    rows = rows.select("*", partner).select(
-        "sign",
-        F.least("block", "partner").alias("i"),
-        F.greatest("block", "partner").alias("j"),
-        (F.col("block") > F.col("partner")).cast("int").alias("side"),
-        "key",
-        "part",
-        "n",
-        *sketch_columns,
-    )
-    dealt = rows.repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j")
-    more = dealt.mapInArrow(_compare(percent), "key long, pivot long").distinct()
-    done = pairs.select(F.greatest("key", "pivot").alias("key"), F.least("key", "pivot").alias("pivot"))
-    more = materialise(more.join(done, ["key", "pivot"], "left_anti"), "partenum-more")
-    if not more.isEmpty():
-        found = materialise(verified(more), "partenum-links")
-        if not found.isEmpty():
-            parts = components(links.union(found))
+
+    def still_mixed() -> tuple[DataFrame, int]:
+        """Bucket rows with their components, and at most how many pairs across components they hold."""
+        named = all_rows.join(parts, "key", "left").select("sign", "key", F.coalesce("part", "key").alias("part"))
+        named = materialise(named, "partenum-named")
+        m = named.groupBy("sign").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("m"))
+        pairs_left = m.where("low <> high").agg(F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0))).first()[0]
+        return named, int(pairs_left)
+
+    def proposals(named: DataFrame, nearest: bool) -> DataFrame:
+        """Untested pairs across components within buckets that still hold several."""
+        mixed = (
+            named.groupBy("sign")
+            .agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("m"))
+            .where("low <> high")
+            .select("sign", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        )
+        rows = named.join(mixed, "sign").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        rows = rows.join(members.select("key", "n", *sketch_columns), "key")
+        partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("partner")
+        rows = rows.select("*", partner).select(
+            "sign",
+            F.least("block", "partner").alias("i"),
+            F.greatest("block", "partner").alias("j"),
+            (F.col("block") > F.col("partner")).cast("int").alias("side"),
+            "key",
+            "part",
+            "n",
+            *sketch_columns,
+        )
+        dealt = rows.repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j")
+        found = dealt.mapInArrow(_compare(percent, nearest), "key long, pivot long, by long, apart long")
+        if nearest:
+            best = F.min_by(F.struct("key", "pivot"), F.struct("apart", "pivot", "key")).alias("p")
+            found = found.groupBy("by").agg(best).select("p.key", "p.pivot")
+        tested = done[0].select("key", "pivot")
+        for more in done[1:]:
+            tested = tested.union(more.select("key", "pivot"))
+        made = materialise(found.select("key", "pivot").distinct().join(tested, ["key", "pivot"], "left_anti"), "partenum-more")
+        return made
+
+    # Each round joins every class to its nearest one of another component, so components merge in a
+    # few rounds; what is left then is proposed whole, and at once where the buckets hold few pairs.
+    done, found_links = [pairs], [links]
+    few = 2 * members.count()
+    for turn in range(ROUNDS + 1):
+        named, pairs_left = still_mixed()
+        last = turn == ROUNDS or pairs_left <= few
+        if pairs_left:
+            more = proposals(named, nearest=not last)
+            done.append(more)
+            found = verified(more)
+            found_links.append(found)
+            if not found.isEmpty():
+                before, union = parts, found_links[0]
+                for extra in found_links[1:]:
+                    union = union.union(extra)
+                parts = components(union)
+                discard(before)
+        discard(named)
+        if last:
+            break
+    discard(buckets, *done, *found_links)
     # Names of components with several rows; the others keep their own.
     named = members.join(parts, "key", "left")
     label = F.coalesce("part", "key").alias("part")
     named = materialise(named.where("class_rows > 1 OR part IS NOT NULL").select("key", label, "first_id", "class_rows"), "partenum-names")
     ids = named.groupBy("part").agg(F.min("first_id").alias("component_id"))
+    names = named
     named = materialise(named.join(ids, "part").select("key", "class_rows", "component_id", "part"), "partenum-ids")
+    discard(members, parts, names)
+    if tables is not None:
+        tables += [base, named]
     # A class of at least one row in 2^16 is one of at most 2^16: that part may be broadcast.
     share = base.count() >> 16
     entry = lambda part, name: part.select("key", F.struct("class_rows", "component_id", "part").alias(name))
@@ -426,8 +494,11 @@ def near_duplicates(
 
 def keep_one(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows and columns, one row per component (the smallest id, then row); ``df`` must be a table scan."""
-    found = materialise(near_duplicates(df, words, percent, id_col, text_col), "partenum-result")
+    tables: list[DataFrame] = []
+    found = near_duplicates(df, words, percent, id_col, text_col, tables)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
     kept = found.where("component IS NOT NULL").groupBy("component").agg(first).select("first.row")
     kept = kept.union(found.where("component IS NULL").select("row"))
+    kept = materialise(kept, "partenum-kept")
+    discard(*tables)
     return df.withColumn("__row", row_key()).join(kept.select(F.col("row").alias("__row")), "__row", "left_semi").select(*df.columns)
