@@ -262,7 +262,7 @@ def compliance_violations(spark, sf_dir):
 @query("SELECT conv_id, turn, 'A' AS grade FROM conversations WHERE role = 'system'")
 def grade_augmented_prompts(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where("role = 'system'").select("conv_id", "turn", "text")
-    hardened = turns.withColumn("text", grading.augment(F.left("text", F.lit(500))))
+    hardened = turns.withColumn("text", grading.augment(F.col("text")))
     return grading.grade(hardened, evidence=False).select("conv_id", "turn", "grade")
 
 

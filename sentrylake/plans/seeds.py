@@ -173,10 +173,10 @@ def phrase_of(phrases: list[str], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, phrases)), at)
 
 
-def seeded(df: DataFrame, phrases: list[str], key: str, text: str | None, chars: int = 200) -> DataFrame:
-    """key and text: the phrase, then the start of the row's own text."""
+def seeded(df: DataFrame, phrases: list[str], key: str, text: str | None) -> DataFrame:
+    """key and text: the phrase, then the row's own whole text."""
     phrase = phrase_of(phrases, F.col(key))
-    rest = F.concat(F.lit(" "), F.left(F.coalesce(F.col(text), F.lit("")), F.lit(chars))) if text else F.lit("")
+    rest = F.concat(F.lit(" "), F.coalesce(F.col(text), F.lit(""))) if text else F.lit("")
     return df.select(key, F.concat(phrase, rest).alias("text"), *(c for c in df.columns if c not in (key, "text", text)))
 
 
