@@ -43,8 +43,8 @@ STARTS = np.cumsum([0, *(1 << b for b in BITS)])
 SLOTS = int(STARTS[-1])
 #: Slots of one shipped table block; characters handled at once; the rank of a broadcast token's share.
 PAGE, BLOCK, HOT = 1 << 14, 2_500_000, 19
-#: Added to both counts of a slot; step of the gradient; bytes of one step; bytes of a single word in the word table.
-SMOOTH, RATE, PART, DEEP = np.float32(0.2), 0.15, 40_000, 5
+#: Added to both counts of a slot; step of the gradient; bytes of one step.
+SMOOTH, RATE, PART = np.float32(0.2), 0.15, 40_000
 #: Evidence bins: upper ends of n; gates of the document stage by log2 of the words so far.
 EVIDENCE = np.array([0, 1, 2, 4, 8, 32, 256], dtype=np.float32)
 LEVELS = len(EVIDENCE) + 1
@@ -187,32 +187,28 @@ class Learner:
         counts = np.bincount(block.ids, minlength=len(block.words))
         b = Bytes(block.words)
         weight = np.repeat(counts, b.lengths)
-        # The ends of words met once would crowd the word table; their beginnings say how often a word is new.
-        counted = (weight > 1) | (b.place < DEEP)
-        for rows, contexts in ((np.flatnonzero(counted), (0,)), (slice(None), (1, 2))):
-            w = weight[rows].astype(np.uint32)
-            for _, bit, slots in b.bits(rows):
-                one = bit == 1
-                for k in contexts:
-                    np.add.at(self.n1, slots[k][one], w[one])
-                    np.add.at(self.n0, slots[k][~one], w[~one])
+        w = weight.astype(np.uint32)
+        for _, bit, slots in b.bits(slice(None)):
+            one = bit == 1
+            for at in slots:
+                np.add.at(self.n1, at[one], w[one])
+                np.add.at(self.n0, at[~one], w[~one])
         logp = np.zeros(len(b.data), np.float32)
         parts = max(1, len(b.data) // PART)
         for part in range(parts):
             rows = np.arange(part, len(b.data), parts)
-            self.follow(b, rows, weight[rows].astype(np.float32), logp, counted[rows])
+            self.follow(b, rows, weight[rows].astype(np.float32), logp)
         self.documents(block, np.add.reduceat(logp, b.starts))
 
-    def follow(self, b: Bytes, rows: np.ndarray, weight: np.ndarray, logp: np.ndarray, counted: np.ndarray) -> None:
+    def follow(self, b: Bytes, rows: np.ndarray, weight: np.ndarray, logp: np.ndarray) -> None:
         m = self.mixer
         for j, bit, slots in b.bits(rows):
             inputs = []
             zero, one = (bit == 0).astype(np.float32), bit.astype(np.float32)
-            for k, at in enumerate(slots):
-                # The occurrence itself is left out, where it was counted.
-                own = counted.astype(np.float32) if k == 0 else np.float32(1)
-                n0 = np.maximum(self.n0[at].astype(np.float32) - zero * own, 0)
-                inputs.append(stretched(n0, np.maximum(self.n1[at].astype(np.float32) - one * own, 0)))
+            for at in slots:
+                # The occurrence itself is left out.
+                n0 = np.maximum(self.n0[at].astype(np.float32) - zero, 0)
+                inputs.append(stretched(n0, np.maximum(self.n1[at].astype(np.float32) - one, 0)))
             total, gates = m.mix(j, inputs)
             p = 1 / (1 + np.exp(-total))
             logp[rows] += np.log(np.where(bit == 1, p, 1 - p) + np.float32(1e-9))

@@ -1,0 +1,24 @@
+import numpy as np
+
+from sentrylake.llm import lm_mixing
+
+
+def counts(blocks):
+    learner = lm_mixing.Learner()
+    for texts in blocks:
+        learner.learn(lm_mixing.read(texts))
+    return learner.n0, learner.n1
+
+
+def test_counts_do_not_depend_on_blocks():
+    texts = ["incomprehensible words met", "once incomprehensible in each", "block incomprehensible"]
+    for a, b in zip(counts([texts]), counts([[t] for t in texts])):
+        assert (a == b).all()
+
+
+def test_every_byte_counts_in_every_context():
+    texts = ["single occurrences are counted whole", "whole counted twice twice"]
+    n0, n1 = counts([texts])
+    total = 8 * sum(len(t) + 2 for t in texts)  # each word's end is a byte, and each text's
+    for low, high in zip(lm_mixing.STARTS, lm_mixing.STARTS[1:]):
+        assert int(n0[low:high].sum(dtype=np.int64) + n1[low:high].sum(dtype=np.int64)) == total
