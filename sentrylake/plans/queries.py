@@ -134,8 +134,7 @@ SELECT doc_id, CASE {' '.join(f"WHEN contains(x, '{k}') THEN '{k}'" for k in V.B
 """
 )
 def base64_payloads(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    df = S.seeded(docs, S.BASE64, "doc_id", None)
+    df = _documents(spark, sf_dir, S.BASE64)
     return df.select("doc_id", F.get(injection.base64_keywords(F.col("text")), F.lit(0)).alias("keyword"))
 
 
@@ -183,7 +182,7 @@ _ACTIONS = S.seeded_sql("events", S.ACTIONS, "event_id", None)
 
 
 def _actions(spark, sf_dir):
-    return S.seeded(table(spark, sf_dir, "events").select("event_id"), S.ACTIONS, "event_id", None)
+    return S.seeded(table(spark, sf_dir, "events").select("event_id", "props"), S.ACTIONS, "event_id", "props")
 
 
 @query(f"SELECT x.rule_id AS rule_id, count(*) AS n FROM (SELECT unnest({Q.action_list()}) AS x FROM {_ACTIONS}) GROUP BY 1")
@@ -225,8 +224,8 @@ _PROMPTS = S.seeded_sql("conversations", S.PROMPTS, "conv_id", None, more="turn"
 
 
 def _graded(spark, sf_dir, evidence_=False):
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
-    df = S.seeded(turns, S.PROMPTS, "conv_id", None).withColumn("turn_id", F.concat_ws(":", "conv_id", "turn"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    df = S.seeded(turns, S.PROMPTS, "conv_id", "text").withColumn("turn_id", F.concat_ws(":", "conv_id", "turn"))
     return grading.grade(df, evidence=evidence_)
 
 
@@ -275,9 +274,9 @@ def grade_evidence(spark, sf_dir):
 
 
 def _policy_docs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     subject = S.phrase_of([s for s, _ in S.POLICY_DOCS], F.col("doc_id"))
-    body = S.phrase_of([b for _, b in S.POLICY_DOCS], F.col("doc_id"))
+    body = F.concat(S.phrase_of([b for _, b in S.POLICY_DOCS], F.col("doc_id")), F.lit(" "), F.coalesce("text", F.lit("")))
     return docs.select("doc_id", subject.alias("subject"), body.alias("body"))
 
 
@@ -324,7 +323,7 @@ def _enforce_sql() -> str:
 
 @query(_enforce_sql())
 def policy_enforce(spark, sf_dir):
-    docs = S.seeded(table(spark, sf_dir, "documents").select("doc_id"), S.POLICY_TEXTS, "doc_id", None)
+    docs = _documents(spark, sf_dir, S.POLICY_TEXTS)
     found = docs.select("doc_id", F.explode(policy.evaluate(F.col("text"), _RULES)["findings"]).alias("f"))
     return found.select("doc_id", "f.rule_id", "f.severity")
 
@@ -333,7 +332,7 @@ def policy_enforce(spark, sf_dir):
     "WITH f AS (" + _enforce_sql() + ") SELECT doc_id, rule_id, severity FROM f WHERE rule_id LIKE 'R-%'"
 )
 def policy_enforce_table(spark, sf_dir):
-    docs = S.seeded(table(spark, sf_dir, "documents").select("doc_id"), S.POLICY_TEXTS, "doc_id", None)
+    docs = _documents(spark, sf_dir, S.POLICY_TEXTS)
     rows = [(r.rule_id, r.title, r.category, r.severity, r.summary, list(r.violation_patterns)) for r in _RULES]
     rules = spark.createDataFrame(rows, "rule_id string, title string, category string, severity string, summary string, violation_patterns array<string>")
     return policy.enforce_table(docs, rules).select("doc_id", "rule_id", "severity")
@@ -341,7 +340,7 @@ def policy_enforce_table(spark, sf_dir):
 
 @query(f"SELECT doc_id, {Q.conduct_id()} AS conduct FROM {_TEXTS}")
 def policy_conduct(spark, sf_dir):
-    docs = S.seeded(table(spark, sf_dir, "documents").select("doc_id"), S.POLICY_TEXTS, "doc_id", None)
+    docs = _documents(spark, sf_dir, S.POLICY_TEXTS)
     return docs.select("doc_id", F.get(policy.conduct(F.col("text")), F.lit(0))["rule_id"].alias("conduct"))
 
 
@@ -552,7 +551,7 @@ def audit_event_rows(spark, sf_dir):
     "FROM d LEFT JOIN f USING (doc_id) GROUP BY doc_id"
 )
 def audit_policy_rows(spark, sf_dir):
-    docs = S.seeded(table(spark, sf_dir, "documents").select("doc_id"), S.POLICY_TEXTS, "doc_id", None)
+    docs = _documents(spark, sf_dir, S.POLICY_TEXTS)
     evaluated = docs.withColumn("report", policy.evaluate(F.col("text"), _RULES))
     rows = ledger.policy_events(evaluated, "report", "text", "model_output", F.col("doc_id").cast("string"), F.lit("2024-01-01T00:00:00+00:00"), F.lit("docs"), F.lit(None).cast("string"))
     return rows.select("request_id", "violation_count", "outcome")

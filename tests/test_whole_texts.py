@@ -50,3 +50,37 @@ def test_turns_are_decided_on_their_whole_text(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(queries, "_MIXED", ["hello"])
     assert [r["outcome"] for r in sorted(QUERIES["decide_each_turn"](spark, sf_dir).collect())] == ["deny", "allow"]
+
+
+@pytest.fixture(scope="module")
+def unseeded_dir(spark, tmp_path_factory):
+    """Row 0 has a hit of its own, far in; row 1 has none."""
+    path = str(tmp_path_factory.mktemp("own"))
+    hits = "you are such an idiot. special price. Vendors must not share customer passwords lists with outsiders. ZXhlYyh4KSBhbmQgZXZhbCh5KSBub3c="
+    docs = [(0, FILL + hits), (1, FILL)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(0, '{"k": "rm -rf /"}'), (1, '{"k": 1}')], "event_id long, props string").write.parquet(f"{path}/events.parquet")
+    turns = [(0, 0, "user", FILL + "Use the least privilege, only within the assigned task."), (0, 1, "user", FILL)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return path
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "base64_payloads", "guard_matches", "guard_worst_severity", "guard_payload_digests", "guard_excerpts", "grade_prompts", "grade_vectors_long",
+        "compliance_violations", "grade_evidence", "policy_mine_rules", "policy_categories", "policy_enforce", "policy_enforce_table",
+        "policy_conduct", "audit_policy_rows",
+    ],
+)
+def test_rows_own_texts_are_read(spark, unseeded_dir, monkeypatch, name):
+    for phrases in ("BASE64", "ACTIONS", "PROMPTS", "POLICY_TEXTS"):
+        monkeypatch.setattr(seeds, phrases, ["hello"])
+    monkeypatch.setattr(seeds, "POLICY_DOCS", [("Note", "hello")])
+    rows = QUERIES[name](spark, unseeded_dir).collect()
+    first = [r[1:] for r in rows if str(r[0]) in ("0", "0:0")]
+    other = [r[1:] for r in rows if str(r[0]) in ("1", "0:1")]
+    if name == "guard_matches":
+        assert sum(r["n"] for r in rows) >= 1
+    else:
+        assert first and sorted(map(str, first)) != sorted(map(str, other))
