@@ -703,7 +703,7 @@ def bundle_range_join(spark, sf_dir):
 
 def _bundle_leaves(spark, sf_dir):
     """Leaves in a chain, with planted faults: a repeated number, a copied hash, a wrong link."""
-    clean = _leaves(spark, sf_dir).where("seq < 2000")
+    clean = _leaves(spark, sf_dir)
     before = clean.select((F.col("seq") + 1).alias("seq"), F.col("leaf_hash").alias("prev_leaf_hash"))
     linked = clean.join(before, "seq", "left").withColumn("recomputed", F.col("leaf_hash"))
     return linked.withColumn("prev_leaf_hash", F.when(F.col("seq") % 500 == 7, F.lit("x")).otherwise(F.col("prev_leaf_hash"))).withColumn(
@@ -802,7 +802,7 @@ p AS (SELECT row_number() OVER (ORDER BY g) AS pos, 's' || g AS seal_id, g * 10
 
 
 def _proof(spark, sf_dir):
-    groups = table(spark, sf_dir, "orders").where("o_orderkey < 5000").select(F.floor(F.col("o_orderkey") / 10).cast("long").alias("g")).distinct()
+    groups = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 10).cast("long").alias("g")).distinct()
     rows = _ranked(groups, "g", "r").withColumn("pos", F.col("r") + 1)
     before = rows.select((F.col("pos") + 1).alias("pos"), F.concat(F.lit("h"), F.col("g").cast("string")).alias("before"))
     return rows.join(before, "pos", "left").select(
@@ -837,6 +837,6 @@ FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey < 3000) LEFT JOIN
 """
 )
 def anchor_as_of(spark, sf_dir):
-    starts = table(spark, sf_dir, "orders").where("o_orderkey < 3000").select(F.lit(1).cast("long").alias("chain"), F.col("o_orderkey").alias("start_seq")).distinct()
-    anchors = _anchors(spark, sf_dir).where("last_seq < 3000").select(F.lit(1).cast("long").alias("chain"), "last_seq", "billable_through").distinct()
+    starts = table(spark, sf_dir, "orders").select(F.lit(1).cast("long").alias("chain"), F.col("o_orderkey").alias("start_seq")).distinct()
+    anchors = _anchors(spark, sf_dir).select(F.lit(1).cast("long").alias("chain"), "last_seq", "billable_through").distinct()
     return usage.anchor_before(starts, anchors)
