@@ -33,6 +33,8 @@ SIZE = (1 << WORD_BITS) + (1 << SHAPE_BITS)
 #: Labelled rows the fit may use, passes of the descent, its penalty, smoothing and mixing.
 BOUND, PASSES, PENALTY, SMOOTH, MIX = 16_000, 12, 1.0, 1.0, 0.5
 REMEMBERED = 700_000
+#: Signs of a shape n-gram.
+PIECE = 12
 
 
 
@@ -47,10 +49,16 @@ _SIGNS, _CAPITALS, _RUN = Signs(), re.compile("A{2,}"), re.compile(r"(.)\1+", re
 
 def shape(word: str) -> str:
     """A sign per run: A for one capital, B for more, a for small letters, 0 for digits, others themselves."""
-    signs = "".join(map(_SIGNS.__getitem__, word[:64]))
+    signs = "".join(map(_SIGNS.__getitem__, word))
     if "AA" in signs:
         signs = _CAPITALS.sub("B", signs)
-    return _RUN.sub(r"\1", signs)[:12]
+    return _RUN.sub(r"\1", signs)
+
+
+def pieces(word: str) -> list[int]:
+    """Hashes of all runs of PIECE signs in a longer shape; none of a shorter one, which is a feature as a whole."""
+    signs = shape(word)
+    return [zlib.crc32(signs[k : k + PIECE].encode()) >> 1 for k in range(len(signs) - PIECE + 1)] if len(signs) > PIECE else []
 
 
 class WordHashes(dict):
@@ -66,7 +74,19 @@ class WordHashes(dict):
         return made
 
 
-_HASHES = WordHashes()
+class PieceHashes(dict):
+    """Words (bytes) -> hashes of the pieces of a long shape."""
+
+    def __missing__(self, word: bytes) -> list[int]:
+        if len(self) > REMEMBERED:
+            self.clear()
+        made = pieces(word.decode("utf-8", "replace"))
+        if len(word) <= 64:
+            self[word] = made
+        return made
+
+
+_HASHES, _PIECES = WordHashes(), PieceHashes()
 
 
 def features(text: str) -> np.ndarray:
@@ -93,7 +113,8 @@ def features(text: str) -> np.ndarray:
         ],
         dtype=np.uint64,
     )
-    shapes = [s * k1, (s[:-1] * k1) ^ (s[1:] * k2), (s[:-2] * k1) ^ (s[1:-1] * k2) ^ (s[2:] * k3), marks * k3]
+    longer = [x for w in set(words) if len(w) > PIECE for x in _PIECES[w]]
+    shapes = [s * k1, np.array(longer, dtype=np.uint64) * k1, (s[:-1] * k1) ^ (s[1:] * k2), (s[:-2] * k1) ^ (s[1:-1] * k2) ^ (s[2:] * k3), marks * k3]
     grams += [((x >> np.uint64(40)) & shape_mask) + np.uint64(1 << WORD_BITS) for x in shapes]
     return np.unique(np.concatenate(grams)).astype(np.int32)
 
