@@ -128,7 +128,7 @@ def screen_with_canaries(spark, sf_dir):
 
 @query(
     f"""
-WITH d AS (SELECT doc_id, regexp_extract(t, '[A-Za-z0-9+/]{{20,}}={{0,2}}') AS run FROM {S.seeded_sql('documents', S.BASE64, 'doc_id', None)}),
+WITH d AS (SELECT doc_id, regexp_extract(t, '[A-Za-z0-9+/]{{20,}}={{0,2}}') AS run FROM {S.seeded_sql('documents', S.BASE64, 'doc_id', 'text')}),
 e AS (SELECT doc_id, CASE WHEN run <> '' THEN lower(try(decode(from_base64(run)))) END AS x FROM d)
 SELECT doc_id, CASE {' '.join(f"WHEN contains(x, '{k}') THEN '{k}'" for k in V.BASE64_KEYWORDS)} END AS keyword FROM e
 """
@@ -178,7 +178,7 @@ def wrap_untrusted_content(spark, sf_dir):
 
 # --- destructive actions ---------------------------------------------------------------------------
 
-_ACTIONS = S.seeded_sql("events", S.ACTIONS, "event_id", None)
+_ACTIONS = S.seeded_sql("events", S.ACTIONS, "event_id", "props")
 
 
 def _actions(spark, sf_dir):
@@ -220,7 +220,7 @@ def guard_excerpts(spark, sf_dir):
 
 # --- grading ---------------------------------------------------------------------------------------
 
-_PROMPTS = S.seeded_sql("conversations", S.PROMPTS, "conv_id", None, more="turn")
+_PROMPTS = S.seeded_sql("conversations", S.PROMPTS, "conv_id", "text", more="turn")
 
 
 def _graded(spark, sf_dir, evidence_=False):
@@ -293,7 +293,7 @@ def _category_sql() -> str:
         for i, (name, words) in enumerate(V.POLICY_CATEGORIES)
     )
     return f"""
-WITH d AS (SELECT doc_id, lower(subject || ' ' || body) AS x FROM documents JOIN (VALUES {docs}) AS s(k, subject, body) ON doc_id % {len(S.POLICY_DOCS)} = k),
+WITH d AS (SELECT doc_id, lower(subject || ' ' || body || ' ' || coalesce(text, '')) AS x FROM documents JOIN (VALUES {docs}) AS s(k, subject, body) ON doc_id % {len(S.POLICY_DOCS)} = k),
 c AS (SELECT doc_id, list_sort([{items}])[1] AS c FROM d)
 SELECT doc_id, CASE WHEN c.a < 0 THEN c.name ELSE 'general' END AS category FROM c
 """
@@ -306,7 +306,7 @@ def policy_categories(spark, sf_dir):
 
 
 _RULES = [policy.PolicyRule(i, title, summary, category, "", (), tuple(patterns), severity) for i, title, summary, category, severity, patterns in S.POLICY_RULES]
-_TEXTS = S.seeded_sql("documents", S.POLICY_TEXTS, "doc_id", None)
+_TEXTS = S.seeded_sql("documents", S.POLICY_TEXTS, "doc_id", "text")
 
 
 def _enforce_sql() -> str:
@@ -713,7 +713,7 @@ def _bundle_leaves(spark, sf_dir):
 
 @query(
     """
-WITH k AS (SELECT DISTINCT o_orderkey AS seq FROM orders WHERE o_orderkey < 2000)
+WITH k AS (SELECT DISTINCT o_orderkey AS seq FROM orders)
 SELECT seq, 3 AS "check" FROM k WHERE seq % 600 = 9
 UNION ALL SELECT k.seq, 5 AS "check" FROM k JOIN k p ON p.seq + 1 = k.seq WHERE k.seq % 500 = 7
 """
@@ -797,7 +797,7 @@ def usage_bounds(spark, sf_dir):
 _PROOF = """
 p AS (SELECT row_number() OVER (ORDER BY g) AS pos, 's' || g AS seal_id, g * 10 AS first_seq, g * 10 + 9 AS last_seq, g % 11 AS billable,
       'h' || g AS seal_hash, CASE WHEN g % 50 = 3 THEN 'x' ELSE 'h' || lag(g) OVER (ORDER BY g) END AS prev_seal_hash
-      FROM (SELECT DISTINCT o_orderkey // 10 AS g FROM orders WHERE o_orderkey < 5000))
+      FROM (SELECT DISTINCT o_orderkey // 10 AS g FROM orders))
 """
 
 
@@ -832,8 +832,8 @@ def continuity_check(spark, sf_dir):
 @query(
     f"""
 WITH a AS ({_ANCHORS})
-SELECT 1::BIGINT AS chain, o_orderkey AS start_seq, max(last_seq) AS last_seq, max(billable_through) AS billable_through
-FROM (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey < 3000) LEFT JOIN a ON last_seq <= o_orderkey GROUP BY o_orderkey
+SELECT 1::BIGINT AS chain, o_orderkey AS start_seq, last_seq, billable_through
+FROM (SELECT DISTINCT o_orderkey FROM orders) ASOF LEFT JOIN (SELECT DISTINCT last_seq, billable_through FROM a) AS a ON o_orderkey >= a.last_seq
 """
 )
 def anchor_as_of(spark, sf_dir):

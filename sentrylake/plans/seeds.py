@@ -188,9 +188,9 @@ def values_sql(phrases: list[str]) -> str:
     return ", ".join(f"({k}, {quoted(p)})" for k, p in enumerate(phrases))
 
 
-def seeded_sql(table: str, phrases: list[str], key: str, text: str | None, chars: int = 200, more: str = "") -> str:
-    """A subquery with key and t."""
-    rest = f" || ' ' || left(coalesce({text}, ''), {chars})" if text else ""
+def seeded_sql(table: str, phrases: list[str], key: str, text: str | None, more: str = "") -> str:
+    """A subquery with key and t: the phrase, then the row's own whole text."""
+    rest = f" || ' ' || coalesce({text}, '')" if text else ""
     extra = f", {more}" if more else ""
     return (
         f"(SELECT {key}{extra}, phrase{rest} AS t FROM {table} "
