@@ -6,8 +6,8 @@ partitions, and for every first-level partition the subsets of its second-level
 ones that leave out ``k2`` are enumerated. Two sets within the band's largest
 symmetric difference agree on at least one such subset, so they share a
 signature: no link is lost. Signatures meet in buckets; candidates are pruned by
-sizes and by a parity sketch (whose distance never exceeds the sets'), and the
-rest are verified on their whole texts.
+sizes and by parity sketches (whose distance never exceeds the sets'), and the
+rest are verified on the shingles of their whole texts.
 
 Equal sets are one class from the start. First each class is proposed with the
 smallest class of its buckets only; buckets that still hold several components
@@ -36,13 +36,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, row_key
+from .common import discard, materialise, release, row_key
 
 #: Width of a size band, least shingles a signature should stand on, sketch words of 64 bits, rows of a compared block.
-BAND, ELEMENTS, SKETCH, BLOCK = 1.25, 3.2, 8, 2048
+BAND, ELEMENTS, SKETCH, BLOCK = 1.25, 3.2, 8, 512
+#: Most bits of a class's long sketch; rows and pairs that a comparing task handles at once.
+LONG_SKETCH, ROWS_AT_ONCE, PAIRS_AT_ONCE = 1 << 17, 50_000, 250_000
 #: Rounds in which each class is proposed with its nearest one, before all remaining pairs are.
 ROUNDS = 3
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -105,10 +107,8 @@ class Bands:
         return band
 
     def instances(self, size: int) -> list[int]:
-        """Bands whose partitioning a set of this size signs under: its own, and the next if a partner can be there."""
-        band = self.of(size)
-        reach = size * 100 // self.percent
-        return [band, band + 1] if reach >= self.low(band + 1) else [band]
+        """Bands whose partitioning a set of this size signs under: its own and those where a larger partner can be."""
+        return list(range(self.of(size), self.of(size * 100 // self.percent) + 1))
 
     @functools.lru_cache(maxsize=None)
     def plan(self, band: int) -> tuple[int, int, np.ndarray, int] | None:
@@ -161,11 +161,21 @@ def signatures(found: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Parities of the set's shingles by hash, about one bit a shingle: differing bits never outnumber differing shingles."""
+    bits = min(max(SKETCH * 64, 1 << (len(found) - 1).bit_length()), LONG_SKETCH)
+    at = (found * K[3]) >> np.uint64(65 - bits.bit_length())
+    return (np.bincount(at.astype(np.intp), minlength=bits) & 1).astype(np.uint8)
+
+
+def folded(odd: np.ndarray, bits: int) -> np.ndarray:
+    """The parities over fewer bits: those of neighbouring ones added."""
+    return odd if len(odd) == bits else odd.reshape(bits, -1).sum(axis=1, dtype=np.uint8) & 1
+
+
 def sketch(found: np.ndarray) -> np.ndarray:
-    """Parities of the set's shingles by hash: differing bits never outnumber differing shingles."""
-    bit = (found * K[3]) >> np.uint64(64 - 6 - SKETCH.bit_length() + 1)
-    odd = np.bincount(bit.astype(np.intp), minlength=SKETCH * 64) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """The parities as words of 64 bits, as many for every set."""
+    return np.packbits(folded(parities(found), SKETCH * 64)).view(np.int64)
 
 
 SETS = "row long, doc_id long, n long, key long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", signs array<long>"
@@ -178,59 +188,67 @@ def sets_table(df: DataFrame, words: int, percent: int, id_col: str, text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            n, keys, sketches, signs = [], [], [], []
-            for text in batch.column(2).to_pylist():
-                found = shingles(text or "", words)
-                n.append(len(found))
-                if not len(found):
-                    keys.append(None)
-                    sketches.append(np.zeros(SKETCH, np.int64))
-                    signs.append([])
-                    continue
-                key = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
-                keys.append(key)
-                sketches.append(sketch(found))
-                if key in seen:
-                    signs.append([])
-                else:
-                    if len(seen) < 2_000_000:
-                        seen.add(key)
-                    signs.append(signatures(found, percent).view(np.int64))
-            s = np.stack(sketches) if sketches else np.zeros((0, SKETCH), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(n, pa.int64()),
-                    pa.array(keys, pa.int64()),
-                    *(pa.array(s[:, i], pa.int64()) for i in range(SKETCH)),
-                    pa.array(signs, pa.list_(pa.int64())),
-                ],
-                names=names,
-            )
+        try:
+            for batch in batches:
+                yield described(batch, seen)
+        finally:
+            release(_HASHES)
+
+    def described(batch: pa.RecordBatch, seen: set[int]) -> pa.RecordBatch:
+        n, keys, sketches, signs = [], [], [], []
+        for text in batch.column(2).to_pylist():
+            found = shingles(text or "", words)
+            n.append(len(found))
+            if not len(found):
+                keys.append(None)
+                sketches.append(np.zeros(SKETCH, np.int64))
+                signs.append([])
+                continue
+            key = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+            keys.append(key)
+            sketches.append(sketch(found))
+            if key in seen:
+                signs.append([])
+            else:
+                if len(seen) < 2_000_000:
+                    seen.add(key)
+                signs.append(signatures(found, percent).view(np.int64))
+        s = np.stack(sketches) if sketches else np.zeros((0, SKETCH), np.int64)
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                batch.column(1),
+                pa.array(n, pa.int64()),
+                pa.array(keys, pa.int64()),
+                *(pa.array(s[:, i], pa.int64()) for i in range(SKETCH)),
+                pa.array(signs, pa.list_(pa.int64())),
+            ],
+            names=names,
+        )
 
     return source.mapInArrow(run, SETS)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[np.ndarray]]:
-    """Groups of rows with equal values in the first ``by`` columns of sorted batches, as column arrays."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: int, least: int) -> Iterator[list[np.ndarray]]:
+    """Column arrays of some ``least`` rows of sorted batches, never cut within equal values of the first ``by`` columns."""
     held: list[list[np.ndarray]] = []
+    size = 0
     for batch in batches:
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
         if not batch.num_rows:
             continue
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns[:by]:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            part = [c[a:b] for c in columns]
-            if held and any(held[-1][i][-1] != part[i][0] for i in range(by)):
-                yield [np.concatenate(x) for x in zip(*held)]
-                held = []
-            held.append(part)
-    if held:
+        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)])
+        size += batch.num_rows
+        if size < least:
+            continue
+        whole = [np.concatenate(x) for x in zip(*held)]
+        last = np.ones(size, bool)
+        for c in whole[:by]:
+            last &= c == c[-1]
+        cut = size - int(last.sum())
+        if cut:
+            yield [c[:cut] for c in whole]
+        held, size = [[c[cut:] for c in whole]], size - cut
+    if size:
         yield [np.concatenate(x) for x in zip(*held)]
 
 
@@ -267,58 +285,126 @@ def _near(a: str, b: str, percent: int) -> Column:
     return (apart <= most) & (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= most)
 
 
+def _partners(by: list[np.ndarray], same_block: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs to compare, some at once: within a block each row with those behind it, else side 0 with side 1.
+
+    Rows are sorted by the columns ``by`` and then by side.
+    """
+    rows = len(side)
+    change = np.zeros(rows, bool)
+    for c in by:
+        change[1:] |= c[1:] != c[:-1]
+    starts = np.concatenate([[0], np.flatnonzero(change)])
+    sizes = np.diff(np.append(starts, rows))
+    end = np.repeat(starts + sizes, sizes)
+    second = np.repeat(starts + np.add.reduceat((side == 0).astype(np.int64), starts), sizes)
+    begin = np.where(same_block, np.arange(rows) + 1, second)
+    left = np.flatnonzero((side == 0) & (end > begin))
+    count = (end - begin)[left]
+    upto = np.cumsum(count)
+    at = 0
+    while at < len(left):
+        before = upto[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, before + PAIRS_AT_ONCE)))
+        n = count[at:to]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield np.repeat(left[at:to], n), np.repeat(begin[left[at:to]], n) + within
+        at = to
+
+
 def _compare(percent: int, nearest: bool):
-    """Pairs across components of one block pair that sizes and sketches allow, all or each member's nearest.
+    """Pairs across components of block pairs that sizes and sketches allow, all or each member's nearest.
 
     Columns: sign, i, j, side (0: of block i, 1: of block j), key, part, n, sketch words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _runs(batches, 3):
-            _, i, j, side, key, part, n, *s = columns
+        for columns in _whole_groups(batches, 3, ROWS_AT_ONCE):
+            sign, i, j, side, key, part, n, *s = columns
             bits = np.stack(s, axis=1).view(np.uint64)
-            left = np.flatnonzero(side == 0)
-            right = left if i[0] == j[0] else np.flatnonzero(side == 1)
-            out = []
-            for x in left:
-                rest = right[(right > x) & (part[right] != part[x])] if i[0] == j[0] else right[part[right] != part[x]]
-                if not len(rest):
-                    continue
-                most = (n[rest] + n[x]) * (100 - percent) // (100 + percent)
-                apart = np.bitwise_count(bits[rest] ^ bits[x]).sum(axis=1).astype(np.int64)
-                near = np.flatnonzero(apart <= most)
-                if nearest and len(near):
-                    near = near[np.argmin(apart[near])][None]
-                if len(near):
-                    other = key[rest[near]]
-                    out.append((np.maximum(other, key[x]), np.minimum(other, key[x]), np.full(len(near), key[x]), apart[near]))
-            if out:
+            for x, y in _partners([sign, i, j], i == j, side):
+                most = (n[x] + n[y]) * (100 - percent) // (100 + percent)
+                open_ = (part[x] != part[y]) & (np.abs(n[x] - n[y]) <= most)
+                x, y, most = x[open_], y[open_], most[open_]
+                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1).astype(np.int64)
+                near = apart <= most
+                x, y, apart = x[near], y[near], apart[near]
+                if nearest and len(x):
+                    order = np.lexsort((apart, x))
+                    x, y, apart = x[order], y[order], apart[order]
+                    first = np.append(True, x[1:] != x[:-1])
+                    x, y, apart = x[first], y[first], apart[first]
+                if len(x):
+                    high, low = np.maximum(key[x], key[y]), np.minimum(key[x], key[y])
+                    order = np.lexsort((apart, key[x], low, high))
+                    made = [c[order] for c in (high, low, key[x], apart)]
+                    new = np.append(True, (made[0][1:] != made[0][:-1]) | (made[1][1:] != made[1][:-1]) | (made[2][1:] != made[2][:-1]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c[new], pa.int64()) for c in made], names=["key", "pivot", "by", "apart"])
+
+    return run
+
+
+HASHES = "key long, n long, odd binary, hashes binary"
+
+
+def _hashed(words: int):
+    """key and text -> the class's size, long sketch and sorted shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in batches:
+                sets = [shingles(text.as_py(), words) for text in batch.column(1)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names=["key", "pivot", "by", "apart"]
+                    [
+                        batch.column(0),
+                        pa.array(list(map(len, sets)), pa.int64()),
+                        pa.array([np.packbits(parities(x)).tobytes() for x in sets], pa.binary()),
+                        pa.array([x.tobytes() for x in sets], pa.binary()),
+                    ],
+                    names=["key", "n", "odd", "hashes"],
                 )
+        finally:
+            release(_HASHES)
 
     return run
 
 
-def _verify(words: int, percent: int):
+def _chosen(test):
+    """Those pairs (key, pivot) whose two data columns pass the test."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, found = None, None
         for batch in batches:
             keys, pivots = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            a, b = [], []
-            for key, pivot, text, other in zip(keys, pivots, batch.column(2), batch.column(3)):
-                if pivot != held:
-                    held, found = pivot, shingles(other.as_py(), words)
-                mine = shingles(text.as_py(), words)
-                common = len(np.intersect1d(mine, found, assume_unique=True))
-                if 100 * common >= percent * (len(mine) + len(found) - common):
-                    a.append(key)
-                    b.append(pivot)
+            rest = [batch.column(i) for i in range(2, 4)]
+            ok = [test(a.as_py(), b.as_py()) for a, b in zip(*rest)]
+            a, b = ([v for v, k in zip(x, ok) if k] for x in (keys, pivots))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _allowed(percent: int):
+    def test(a: dict, b: dict) -> bool:
+        """Whether the long sketches allow a link, both folded to the shorter one's bits."""
+        x, y = (np.unpackbits(np.frombuffer(v["odd"], np.uint8)) for v in (a, b))
+        bits = min(len(x), len(y))
+        apart = np.count_nonzero(folded(x, bits) != folded(y, bits))
+        return apart <= (a["n"] + b["n"]) * (100 - percent) // (100 + percent)
+
+    return test
+
+
+def _linked(percent: int):
+    def test(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        if len(x) > len(y):
+            x, y = y, x
+        common = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+        return 100 * common >= percent * (len(x) + len(y) - common)
+
+    return test
+
+
 def components(links: DataFrame, tag: str = "components") -> DataFrame:
     """key, part: the smallest key reachable over links (a, b), by label propagation with jumps."""
     spare: list[DataFrame] = []
@@ -376,19 +462,28 @@ def near_duplicates(
     info = F.struct("n", *sketch_columns)
     texts = df.select(row_key().alias("first_row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links (a, b) among candidate pairs (key, pivot)."""
-        named = pairs.join(members.select("key", info.alias("x")), "key").join(
-            members.select(F.col("key").alias("pivot"), info.alias("y")), "pivot"
-        )
-        close = materialise(named.where(_near("x", "y", percent)).select("key", "pivot"), "partenum-close")
+    def verified(pairs: DataFrame, compared: bool = False) -> DataFrame:
+        """Links (a, b) among candidate pairs (key, pivot); ``compared``: their sizes and short sketches allow them."""
+        close = pairs
+        if not compared:
+            named = pairs.join(members.select("key", info.alias("x")), "key").join(
+                members.select(F.col("key").alias("pivot"), info.alias("y")), "pivot"
+            )
+            close = materialise(named.where(_near("x", "y", percent)).select("key", "pivot"), "partenum-close")
         wanted = close.select("key").union(close.select("pivot")).distinct()
         rows = members.join(wanted, "key", "left_semi").select("key", "first_row")
-        held = materialise(texts.join(rows, "first_row").select("key", "text"), "partenum-texts")
-        other = held.select(F.col("key").alias("pivot"), F.col("text").alias("other"))
-        joined = close.join(held, "key").join(other, "pivot").select("key", "pivot", "text", "other")
-        found = materialise(joined.mapInArrow(_verify(words, percent), "a long, b long"), "partenum-links")
-        discard(close, held)
+        held = materialise(texts.join(rows, "first_row").select("key", "text").mapInArrow(_hashed(words), HASHES), "partenum-sets", "lz4")
+        both = lambda of, a, b: (
+            of.join(held.select(F.col("key").alias("pivot"), b.alias("other")), "pivot")
+            .join(held.select("key", a.alias("own")), "key")
+            .select("key", "pivot", "own", "other")
+        )
+        odd = F.struct("n", "odd")
+        closer = materialise(both(close, odd, odd).mapInArrow(_chosen(_allowed(percent)), "a long, b long"), "partenum-closer")
+        left = closer.select(F.col("a").alias("key"), F.col("b").alias("pivot"))
+        hashes = F.col("hashes")
+        found = materialise(both(left, hashes, hashes).mapInArrow(_chosen(_linked(percent)), "a long, b long"), "partenum-links")
+        discard(*([] if compared else [close]), held, closer)
         return found
 
     # One proposal per class: with one smallest member in most of its buckets, a group of copies becomes a star.
@@ -400,23 +495,17 @@ def near_duplicates(
     parts = components(links)
     all_rows = buckets.select("sign", "key").union(buckets.select("sign", F.col("pivot").alias("key")).distinct())
 
-    def still_mixed() -> tuple[DataFrame, int]:
-        """Bucket rows with their components, and at most how many pairs across components they hold."""
-        named = all_rows.join(parts, "key", "left").select("sign", "key", F.coalesce("part", "key").alias("part"))
-        named = materialise(named, "partenum-named")
+    def still_mixed(rows: DataFrame) -> tuple[DataFrame, int]:
+        """Rows of buckets with several components, and at most how many pairs across components they hold."""
+        named = rows.join(parts, "key", "left").select("sign", "key", F.coalesce("part", "key").alias("part"))
         m = named.groupBy("sign").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("m"))
-        pairs_left = m.where("low <> high").agg(F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0))).first()[0]
-        return named, int(pairs_left)
+        mixed = materialise(named.join(m.where("low <> high").select("sign", "m"), "sign"), "partenum-mixed")
+        return mixed, int(mixed.agg(F.coalesce(F.sum((F.col("m") - 1) / 2), F.lit(0))).first()[0])
 
-    def proposals(named: DataFrame, nearest: bool) -> DataFrame:
+    def proposals(mixed: DataFrame, nearest: bool) -> DataFrame:
         """Untested pairs across components within buckets that still hold several."""
-        mixed = (
-            named.groupBy("sign")
-            .agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("m"))
-            .where("low <> high")
-            .select("sign", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-        )
-        rows = named.join(mixed, "sign").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        rows = mixed.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         rows = rows.join(members.select("key", "n", *sketch_columns), "key")
         partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("partner")
         rows = rows.select("*", partner).select(
@@ -429,7 +518,7 @@ def near_duplicates(
             "n",
             *sketch_columns,
         )
-        dealt = rows.repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j")
+        dealt = rows.repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j", "side")
         found = dealt.mapInArrow(_compare(percent, nearest), "key long, pivot long, by long, apart long")
         if nearest:
             best = F.min_by(F.struct("key", "pivot"), F.struct("apart", "pivot", "key")).alias("p")
@@ -443,25 +532,29 @@ def near_duplicates(
     # Each round joins every class to its nearest one of another component, so components merge in a
     # few rounds; what is left then is proposed whole, and at once where the buckets hold few pairs.
     done, found_links = [pairs], [links]
-    few = 2 * members.count()
+    few, rows, merged = 2 * members.count(), all_rows, True
     for turn in range(ROUNDS + 1):
-        named, pairs_left = still_mixed()
-        last = turn == ROUNDS or pairs_left <= few
+        mixed, pairs_left = still_mixed(rows)
+        if rows is not all_rows:
+            discard(rows)
+        rows = mixed.select("sign", "key")
+        rows._shared_path = mixed._shared_path
+        last = turn == ROUNDS or pairs_left <= few or not merged
         if pairs_left:
-            more = proposals(named, nearest=not last)
+            more = proposals(mixed, nearest=not last)
             done.append(more)
-            found = verified(more)
+            found = verified(more, compared=True)
             found_links.append(found)
-            if not found.isEmpty():
+            merged = not found.isEmpty()
+            if merged:
                 before, union = parts, found_links[0]
                 for extra in found_links[1:]:
                     union = union.union(extra)
                 parts = components(union)
                 discard(before)
-        discard(named)
         if last:
             break
-    discard(buckets, *done, *found_links)
+    discard(rows, buckets, *done, *found_links)
     # Names of components with several rows; the others keep their own.
     named = members.join(parts, "key", "left")
     label = F.coalesce("part", "key").alias("part")

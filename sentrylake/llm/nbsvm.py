@@ -26,13 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extend, labelled_sample
+from .common import extend, labelled_sample, release
 
 WORD_BITS, SHAPE_BITS = 18, 14
 SIZE = (1 << WORD_BITS) + (1 << SHAPE_BITS)
 #: Labelled rows the fit may use, passes of the descent, its penalty, smoothing and mixing.
 BOUND, PASSES, PENALTY, SMOOTH, MIX = 16_000, 12, 1.0, 1.0, 0.5
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 #: Signs of a shape n-gram.
 PIECE = 12
 
@@ -89,6 +89,10 @@ class PieceHashes(dict):
 _HASHES, _PIECES = WordHashes(), PieceHashes()
 
 
+def forget() -> None:
+    release(_HASHES, _PIECES)
+
+
 def features(text: str) -> np.ndarray:
     """Sorted distinct feature numbers of one whole text."""
     words = text.encode("utf-8", "replace").split()
@@ -209,6 +213,7 @@ def train(
         lambda texts: {"found": [features(x).tobytes() for x in texts]},
         [T.StructField("found", T.BinaryType())],
         ["doc_id", "y"],
+        forget,
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,4 +235,5 @@ def score(df: DataFrame, model: Model, cut: float = 0.3, text_col: str = "text",
         scores = [shared.value.score(features(x)) for x in texts]
         return {"score": scores, "predicted": [int(s >= cut) for s in scores]}
 
-    return extend(df, text_col, run, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], keep)
+    fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    return extend(df, text_col, run, fields, keep, forget)

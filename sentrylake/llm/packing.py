@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key
+from .common import materialise, release, row_key
 
 DIMS, BITS = 3, 10
 #: Ids per range; distinct whitespace-separated words remembered per worker; words sent to the tokenizer at once.
-RANGE_IDS, REMEMBERED, AT_ONCE = 4_000_000, 700_000, 4096
+RANGE_IDS, REMEMBERED, AT_ONCE = 4_000_000, 300_000, 4096
 #: Stretch of the projected mean before it is squashed into the grid.
 SPREAD = 2.5
 SEED = 20240229
@@ -175,26 +175,33 @@ def tokens_table(df: DataFrame, path: str, id_col: str, text_col: str, end_id: i
     shift = 63 - DIMS * BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 2000):
-                part = batch.slice(low, 2000)
-                ids, curve = tokenise([x or "" for x in part.column(2).to_pylist()], path, end_id)
-                keys = [
-                    (c << shift) | (zlib.crc32(b"%d" % r, zlib.crc32(b)) & ((1 << shift) - 1))
-                    for c, r, b in zip(curve.tolist(), part.column(0).to_pylist(), ids)
-                ]
-                # 16 bits hold these ids: half the bytes to shuffle.
-                small = [np.frombuffer(b, dtype="<u4").astype("<u2").tobytes() for b in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(1),
-                        pa.array(keys, pa.int64()),
-                        pa.array([len(b) // 4 for b in ids], pa.int64()),
-                        pa.array(small, pa.binary()),
-                    ],
-                    names=["row", "doc_id", "curve", "n_ids", "ids"],
-                )
+        try:
+            for batch in batches:
+                yield from coded(batch)
+        finally:
+            known = word_tokens(path)
+            release(known, known.parts)
+
+    def coded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for low in range(0, batch.num_rows, 2000):
+            part = batch.slice(low, 2000)
+            ids, curve = tokenise([x or "" for x in part.column(2).to_pylist()], path, end_id)
+            keys = [
+                (c << shift) | (zlib.crc32(b"%d" % r, zlib.crc32(b)) & ((1 << shift) - 1))
+                for c, r, b in zip(curve.tolist(), part.column(0).to_pylist(), ids)
+            ]
+            # 16 bits hold these ids: half the bytes to shuffle.
+            small = [np.frombuffer(b, dtype="<u4").astype("<u2").tobytes() for b in ids]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    part.column(1),
+                    pa.array(keys, pa.int64()),
+                    pa.array([len(b) // 4 for b in ids], pa.int64()),
+                    pa.array(small, pa.binary()),
+                ],
+                names=["row", "doc_id", "curve", "n_ids", "ids"],
+            )
 
     return source.mapInArrow(run, TOKENS)
 
