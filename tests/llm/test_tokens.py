@@ -44,16 +44,27 @@ def test_the_stream_commits_within_its_window():
     assert seen < 200 and first
 
 
-def test_counts_equal_the_library(library):
-    found = token_counts.count_texts(PATH, texts())
-    assert found == [len(x) for x in library.encode(texts())]
+@pytest.mark.parametrize("hot", [1, 18])
+def test_counts_equal_the_library(spark, library, monkeypatch, hot):
+    monkeypatch.setattr(token_counts, "HOT", hot)  # at 1 nearly all pre-tokens take the shuffled join
+    made = texts()
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    found = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(df, PATH, 4096, keep=["doc_id"]).collect()}
+    assert found == {i: len(x) for i, x in enumerate(library.encode(made))}
+
+
+def test_each_distinct_pre_token_is_counted_once(spark, library):
+    df = spark.createDataFrame([(f"the cat {i % 3} the",) for i in range(200)] + [(None,)], "text string").repartition(4)
+    rows = token_counts.pre_token_pieces(df, PATH).collect()
+    assert sorted((r["pre_token"], r["n"]) for r in rows) == [("▁0", 67), ("▁1", 67), ("▁2", 66), ("▁cat", 200), ("▁the", 400)]
 
 
 def test_columns(spark):
     rows = [(1, None, 7), (2, "", 7), (3, "Hello é", 7), (3, "Hello é", 7), (None, "x " * 5000, 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
-    got = token_counts.token_counts(df, PATH, 4096).collect()
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"])
+    got = sorted(token_counts.token_counts(df, PATH, 4096).collect(), key=key)
     assert [(r["n_bytes"], r["over_limit"]) for r in got] == [(0, False), (0, False), (8, False), (8, False), (10_000, True)]
     assert token_counts.token_counts(df.limit(0), PATH, 4096).count() == 0
-    coded = sp_viterbi.digest_column(df, PATH).collect()
+    coded = sorted(sp_viterbi.digest_column(df, PATH).collect(), key=key)
     assert [r["n_tokens"] for r in coded] == [r["n_tokens"] for r in got] and all(r["round_trip"] for r in coded)
