@@ -19,7 +19,7 @@ import functools
 import html as entities
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,8 +28,14 @@ from pyspark.sql import types as T
 
 from .common import extend
 
+#: A comment, a tag with its attributes or other markup, each as far as the page's end if it never ends. A quote is
+#: one only as the start of an attribute's value. Nothing is read twice: repetitions are possessive.
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL
+    r"""<!--.*?(?:-->|\Z)
+    |<(/?)([a-zA-Z][^\s/>]*+)
+      ((?:[\s/]++|(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|(?=>)|[^\s>"'][^\s>]*+))?+)*+)(?:>|\Z)
+    |<(?:[!?]|/(?=[^a-zA-Z]))[^>]*+(?:>|\Z)""",
+    re.DOTALL | re.VERBOSE,
 )
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
@@ -58,7 +64,7 @@ FENCE = {"ul", "ol", "dl", "table", "div", "article", "section", "body", "main",
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]  # "tag" or "tag.word.word" from the outside in
+    path: tuple[str, ...]  # distinct steps "tag" or "tag.word.word" from the outside in, then the innermost one
     linked: int  # characters inside links
 
 
@@ -66,17 +72,21 @@ def blocks(page: str) -> list[Block]:
     """Leaf blocks of a whole page, in order."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
+    steps: dict[str, int] = {}  # of the stack, each with how often it is there
+    tags: Counter[str] = Counter()
     pieces: list[str] = []
-    linked = 0
-    links = 0
-    at = skip = 0
+    linked = at = 0
+
+    def path() -> tuple[str, ...]:
+        """The distinct steps from the outside in, and at the end the innermost one."""
+        return (*steps, stack[-1][1]) if stack else ()
 
     def flush():
         nonlocal linked
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                out.append(Block(text, tuple(s for _, s in stack), linked))
+                out.append(Block(text, path(), linked))
             pieces.clear()
         linked = 0
 
@@ -84,31 +94,29 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         if text:
             pieces.append(text)
-            if links:
+            if tags["a"]:
                 linked += len(text.strip())
 
     def close(upto: int):
-        nonlocal links
         if any(t not in INLINE for t, _ in stack[upto:]):
             flush()
-        links -= sum(t == "a" for t, _ in stack[upto:])
+        for tag, step in stack[upto:]:
+            tags[tag] -= 1
+            steps[step] -= 1
+            if not steps[step]:
+                del steps[step]
         del stack[upto:]
 
-    for m in TAG.finditer(page):
-        if m.start() < skip:
-            continue
-        if at < m.start():
-            say(page[at : m.start()])
+    while m := TAG.search(page, at):
+        say(page[at : m.start()])
         at = m.end()
         tag = m[2]
-        if tag is None:
+        if tag is None or page[at - 1] != ">":
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+            if tags[tag]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         if tag == "br":
             pieces.append(" ")
@@ -118,27 +126,27 @@ def blocks(page: str) -> list[Block]:
             stop = end.start() if end else len(page)
             if tag not in UNSEEN:
                 flush()
-                out += [Block(t, (*(s for _, s in stack), tag), 0) for t in [" ".join(page[at:stop].split())] if t]
-            skip = at = end.end() if end else len(page)
+                out += [Block(t, (*steps, tag), 0) for t in [" ".join(page[at:stop].split())] if t]
+            at = end.end() if end else len(page)
             continue
         if tag not in INLINE:
             ended = ENDS.get(tag)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or (ended and stack[k][0] in ended):
-                    close(k)
-                    if not ended:
+            if tags["p"] or (ended and any(tags[t] for t in ended)):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == "p" or (ended and stack[k][0] in ended):
+                        close(k)
+                        if not ended:
+                            break
+                    elif stack[k][0] in FENCE:
                         break
-                elif stack[k][0] in FENCE:
-                    break
             flush()
         if tag not in VOID and not (m[3].endswith("/") and tag in INLINE):
             words = [w for g in NAMED.findall(m[3]) for w in WORDS.findall("".join(g).lower())] if m[3] else []
-            stack.append((tag, ".".join([tag, *words])))
-            links += tag == "a"
-    if at < len(page):
-        rest = page[at:]
-        cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)  # a tag that never ends
-        say(rest[: cut.start()] if cut else rest)
+            step = ".".join([tag, *words])
+            stack.append((tag, step))
+            steps[step] = steps.get(step, 0) + 1
+            tags[tag] += 1
+    say(page[at:])
     flush()
     return out
 

@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 from .common import extend, labelled_sample, release
 
 #: Labelled rows the fit may use; the prior's strength as a share of the counts; least z and log-odds of a
-#: scored token; most scored tokens.
-BOUND, PRIOR, LEAST_Z, LEAST_ODDS, VOCABULARY = 60_000, 0.1, 3.0, 1.0, 1 << 16
+#: scored token.
+BOUND, PRIOR, LEAST_Z, LEAST_ODDS = 60_000, 0.1, 3.0, 1.0
 #: Cost of a token that is not scored: passages farther apart than a score's worth of it are separate.
 COST = 0.12
 #: Greatest E-value of a significant segment.
@@ -81,24 +81,23 @@ def segments(words: list[str], scores: Scores, cost: float = COST) -> list[tuple
     The all-maximal-subsequences scan over the scored tokens; the cost of the
     unscored tokens between two of them is the fall in the running total.
     """
-    found: list[tuple[int, int, float, float]] = []  # start, end, total before, total after
+    # Start, end, total before, total after, and the nearest earlier segment that begins lower (-1: none). A
+    # search follows those links; a segment it passes begins no lower than the new one, behind which no later
+    # search visits it. So all searches together take linear time.
+    found: list[tuple[int, int, float, float, int]] = []
     total, last = 0.0, -1
     for i, score in [x for x in enumerate(map(scores.of.__getitem__, words)) if x[1]]:
-        before = total - cost * (i - last - 1)
-        after = before + score
-        last, total = i, after
-        start = i
-        while found:
-            # The nearest earlier segment that begins lower; those above this beginning are done.
-            k = len(found) - 1
-            while k >= 0 and found[k][2] >= before:
-                k -= 1
-            if k < 0 or found[k][3] >= after:
-                break
-            start, before = found[k][0], found[k][2]
-            del found[k:]
-        found.append((start, i + 1, before, after))
-    return [(a, b, hi - lo) for a, b, lo, hi in found]
+        start, before = i, total - cost * (i - last - 1)
+        last, total = i, before + score
+        lower = len(found) - 1
+        while lower >= 0 and found[lower][2] >= before:
+            lower = found[lower][4]
+        while lower >= 0 and found[lower][3] < total:  # joined with all from there
+            start, _, before, _, further = found[lower]
+            del found[lower:]
+            lower = further
+        found.append((start, i + 1, before, total, lower))
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in found]
 
 
 @dataclass
@@ -191,7 +190,7 @@ def train(
     delta = odds(n1, "ones") - odds(n0, "zeros")
     z = delta / F.sqrt(1 / (F.col("ones") + a) + 1 / (F.col("zeros") + a))
     scored = counts.where("ones > 1").select("token", delta.alias("delta"), z.alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("delta") >= LEAST_ODDS))
-    top = scored.orderBy(F.desc("z"), "token").limit(VOCABULARY).collect()
+    top = scored.collect()  # of the bounded sample's tokens
     model = Model(Scores({r["token"]: float(r["delta"]) for r in top}))
     counts.unpersist()
     shared = spark.sparkContext.broadcast(model.scores)

@@ -80,19 +80,6 @@ def test_base_scores_and_model(spark):
     assert lm_mixing.train_and_score(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_bits_are_a_distribution():
-    model = lm_mixing.Model(np.zeros(lm_mixing.SLOTS, np.float16), np.zeros(lm_mixing.SLOTS, np.uint8), lm_mixing.Mixer())
-    assert abs(model.words([b"a"])[0] - 16 * math.log(0.5)) < 1e-4  # "a" and its end
-    learner = lm_mixing.Learner()
-    block = lm_mixing.read(["the cat sat on the mat the cat"] * 30)
-    for _ in range(3):
-        learner.learn(block)
-    x, e = lm_mixing.stretched(learner.n0.astype(np.float32), learner.n1.astype(np.float32))
-    x[e == 0] = 0
-    trained = lm_mixing.Model(x.astype(np.float16), e, learner.mixer)
-    assert trained.words([b"the"])[0] > trained.words([b"qzx"])[0] + 5
-
-
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body>
 <div class="cookie-notice"><p>We use cookies. Accept?</p></div><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <article><h1>A &amp; B</h1><p>First  line
@@ -126,3 +113,33 @@ def test_viterbi_is_the_best_labelling():
         score = lambda y: sum(v for v, k in zip(values, y) if k) + f.ends[0, y[0]] + f.ends[1, y[-1]] + sum(f.steps[a, b] for a, b in zip(y, y[1:]))
         best = max(itertools.product((0, 1), repeat=n), key=score)
         assert abs(score(f.decode(list(values))) - score(best)) < 1e-9
+
+
+def test_markup_of_odd_pages_stays_out():
+    texts = lambda page: [b.text for b in html_crf.blocks(page)]
+    assert texts('<p title="a" b">One para.') == ["One para."]
+    assert texts("<a href='x'y'>L") == ["L"]
+    assert texts('<p title=">">q</p>') == ["q"]
+    assert texts('x<y a="') == ["x"] and texts("1 < 2 <3") == ["1 < 2 <3"]
+    assert texts("<script>if (a<b) x='</p>'</script><p>after") == ["after"]
+    assert texts("<div><div><p>a<p>b</div>c</div>") == ["a", "b", "c"]
+
+
+def test_long_odd_input_takes_linear_time():
+    import time
+
+    scores = toxicity.Scores({"t": 1.0})
+    makers = [
+        lambda n: toxicity.segments((["t"] + ["x"] * 20) * n, scores),
+        lambda n: html_crf.blocks('<a "' * n),
+        lambda n: html_crf.blocks('<a b="' * n),
+        lambda n: html_crf.blocks("<span>" * n + "<h1>x</h1>" * n),
+        lambda n: html_crf.blocks("<div>x" * n),
+    ]
+    for make in makers:
+        took = []
+        for n in (4000, 32000):
+            began = time.process_time()
+            make(n)
+            took.append(time.process_time() - began)
+        assert took[1] < 24 * max(took[0], 0.02)  # eight times the input; quadratic would be 64
