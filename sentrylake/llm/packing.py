@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import os
 import re
 import unicodedata
@@ -36,6 +37,8 @@ from .common import materialise, release, row_key
 DIMS, BITS = 3, 10
 #: Ids per range; distinct whitespace-separated words remembered per worker; words sent to the tokenizer at once.
 RANGE_IDS, REMEMBERED, AT_ONCE = 4_000_000, 300_000, 4096
+#: Most ranges (beyond that they grow and Spark's sort spills), and ids that count as one in cutting them.
+MOST_RANGES, SHARE = 1 << 14, 512
 #: Stretch of the projected mean before it is squashed into the grid.
 SPREAD = 2.5
 SEED = 20240229
@@ -47,11 +50,17 @@ PIECES = (
 )
 
 
+#: What a tokenizer must do for words to be coded one by one: these normalizers, and this pre-tokenizer before bytes.
+LOWERING = ["NFC", "Replace", "Lowercase"]
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordTokens(dict):
     """Lower-cased words -> their ids as unsigned 32-bit numbers.
 
-    The tokenizer drops white space and merges within white-space-free runs
-    only, so a text's ids are its words' ids one after another.
+    A tokenizer with the steps above drops white space and merges within
+    white-space-free runs only, so a text's ids are its words' ids one after
+    another (``by_words``); any other one gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -59,6 +68,10 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        shape = json.loads(self.tokenizer.to_str())
+        kinds = [x["type"] for x in (shape["normalizer"] or {}).get("normalizers", [])]
+        steps = (shape["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_words = kinds == LOWERING and steps[0].get("pattern", {}).get("Regex") == PRE_TOKEN and steps[-1].get("type") == "ByteLevel"
         self.parts: dict[str, bytes] = {}
         rng = np.random.default_rng(SEED)
         self.projection = rng.standard_normal((self.tokenizer.get_vocab_size(), DIMS)).astype(np.float32)
@@ -146,9 +159,15 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key.astype(np.int64)
 
 
-#: Kept lower-case only for A-Z: the tokenizer's own lower-casing does the rest.
 def _words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").lower().split()
+    """White-space-free runs, A-Z lower-cased; the tokenizer's own lower-casing does the rest.
+
+    A run with an opening of special strings stays as it is: the tokenizer looks for those in the given case.
+    """
+    raw = text.encode("utf-8", "replace")
+    if b"<|" in raw:
+        return [w if b"<|" in w else w.lower() for w in raw.split()]
+    return raw.lower().split()
 
 
 def tokenise(texts: list[str], path: str, end_id: int) -> tuple[list[bytes], np.ndarray]:
@@ -158,10 +177,14 @@ def tokenise(texts: list[str], path: str, end_id: int) -> tuple[list[bytes], np.
     ids: list[bytes] = []
     points = np.zeros((len(texts), DIMS), dtype=np.float32)
     for low in range(0, len(texts), 1000):
-        held = [_words(x) for x in texts[low : low + 1000]]
-        known.learn(set().union(*held))
-        for words in held:
-            body = b"".join(map(known.__getitem__, words))
+        if known.by_words:
+            held = [_words(x) for x in texts[low : low + 1000]]
+            known.learn(set().union(*held))
+            bodies = (b"".join(map(known.__getitem__, words)) for words in held)
+        else:
+            coded = known.tokenizer.encode_batch(texts[low : low + 1000], add_special_tokens=False)
+            bodies = (array("I", e.ids).tobytes() for e in coded)
+        for body in bodies:
             if body:
                 at = known.projection[np.frombuffer(body, dtype="<u4")]
                 points[len(ids)] = at.mean(axis=0)
@@ -190,8 +213,8 @@ def tokens_table(df: DataFrame, path: str, id_col: str, text_col: str, end_id: i
                 (c << shift) | (zlib.crc32(b"%d" % r, zlib.crc32(b)) & ((1 << shift) - 1))
                 for c, r, b in zip(curve.tolist(), part.column(0).to_pylist(), ids)
             ]
-            # 16 bits hold these ids: half the bytes to shuffle.
-            small = [np.frombuffer(b, dtype="<u4").astype("<u2").tobytes() for b in ids]
+            # 16 bits hold most ids: half the bytes to shuffle. A reader sees the width by the length.
+            small = [(v if v.max() >> 16 else v.astype("<u2")).tobytes() for v in (np.frombuffer(b, dtype="<u4") for b in ids)]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
@@ -234,9 +257,11 @@ def pack(df: DataFrame, path: str, sequence: int = 2048, id_col: str = "doc_id",
     spark = df.sparkSession
     tokens = materialise(tokens_table(df, path, id_col, text_col, end_id), "packing-ids")
     n_rows, total = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
-    n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_IDS + 1)
+    n_ranges = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_IDS + 1), MOST_RANGES)
     n_ranges = max(1, min(n_ranges, n_rows))
-    cuts = sorted(set(tokens.approxQuantile("curve", [i / n_ranges for i in range(1, n_ranges)], 0.1 / n_ranges))) if n_ranges > 1 else []
+    # A document counts once per SHARE of its ids, so that ranges hold about as many ids each.
+    weighed = tokens.select("curve", F.explode(F.sequence(F.lit(0), (F.col("n_ids") / SHARE).cast("int"))))
+    cuts = sorted(set(weighed.approxQuantile("curve", [i / n_ranges for i in range(1, n_ranges)], 0.1 / n_ranges))) if n_ranges > 1 else []
     cuts = [int(c) for c in cuts]
     ranged = tokens.withColumn("range", _range_of(cuts))
     before, sizes = {}, ranged.groupBy("range").agg(F.sum("n_ids").alias("n")).collect()  # one row per range
@@ -250,13 +275,13 @@ def pack(df: DataFrame, path: str, sequence: int = 2048, id_col: str = "doc_id",
         here, position = None, 0
         for batch in batches:
             out: list[tuple] = []
-            ranges, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            doc_ids, curves = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for r, row, doc_id, curve, body in zip(ranges, rows, doc_ids, curves, batch.column(4)):
+            ranges, rows, doc_ids, curves, sizes = (batch.column(i).to_pylist() for i in range(5))
+            for r, row, doc_id, curve, n, body in zip(ranges, rows, doc_ids, curves, sizes, batch.column(5)):
                 if r != here:
                     here, position = r, before[r]
-                ids = np.frombuffer(body.as_py(), dtype="<u2").astype("<u4")
-                done, n = 0, len(ids)
+                raw = body.as_py()
+                ids = np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
+                done = 0
                 while done < n:
                     seq, start, end = layout.at(position)
                     length = min(n - done, end - position)
@@ -267,7 +292,7 @@ def pack(df: DataFrame, path: str, sequence: int = 2048, id_col: str = "doc_id",
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=NAMES)
 
-    dealt = ranged.select("range", "row", "doc_id", "curve", "ids").repartitionById(len(cuts) + 1, F.col("range"))
+    dealt = ranged.select("range", "row", "doc_id", "curve", "n_ids", "ids").repartitionById(len(cuts) + 1, F.col("range"))
     return dealt.sortWithinPartitions("range", "curve", "row").mapInArrow(run, PIECES)
 
 

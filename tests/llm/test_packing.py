@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sentrylake.llm import packing
@@ -14,6 +16,7 @@ TEXTS = [
     "",
     "  \n\t ",
     "<|endoftext|> and <|startoftext|>x",
+    "<|ENDOFTEXT|> <|EndOfText|>É<|endoftext|>A b<|startoftext|>C <| |> X<|endoftext|>Don'T",
     "é É İ ΣαΣ K 1234 don't WE'LL",
     "word " * 3000,
     "漢字" * 900,
@@ -72,3 +75,23 @@ def test_copies_spread_over_ranges(spark):
     df = spark.createDataFrame([(i, "same text again") for i in range(400)], "doc_id long, text string")
     curves = {r["curve"] for r in packing.pack(df, PATH, sequence=64).collect()}
     assert len(curves) == 400
+
+
+def test_ids_beyond_16_bits_are_kept(spark, tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    words = {f"w{i}": i for i in range(70_000)}
+    tok = Tokenizer(models.WordLevel(words, unk_token="w0"))
+    tok.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    tok.save(str(tmp_path / "t.json"))
+    df = spark.createDataFrame([(1, "w69999 w3 w65536"), (2, "w5")], "doc_id long, text string")
+    got = {r["doc_id"]: r["ids_crc32"] for r in packing.pack(df, str(tmp_path / "t.json"), sequence=64, end_id=1).collect() if r["start"] == 0}
+    assert zlib.crc32(np.array([5, 1], "<u4").tobytes()) in got.values()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "|>", " ", "Hello", "É", "it's", "\t", "9", "<"]), max_size=8).map("".join))
+def test_ids_around_special_strings(text):
+    tok = Tokenizer.from_file(PATH)
+    (ids,), _ = packing.tokenise([text], PATH, 1)
+    assert np.frombuffer(ids, "<u4").tolist() == [*tok.encode(text, add_special_tokens=False).ids, 1]
