@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from .asof import as_of
 from .ledger import canonical
 
 LEAF = "raw string, seq long, leaf_hash string, prev_leaf_hash string, signer_key_id string, recomputed string"
@@ -113,17 +114,18 @@ def leaf_node(digest: Column) -> Column:
     return F.sha2(F.concat(F.unhex(F.lit("00")), F.unhex(digest)), 256)
 
 
-def merkle_roots(leaves: DataFrame, group_cols: list[str], order_col: str, hash_col: str, most: int) -> DataFrame:
+def merkle_roots(leaves: DataFrame, group_cols: list[str], order_col: str, hash_col: str, most: int, numbered: bool = False) -> DataFrame:
     """The Merkle root of each group's hashes in order, level by level over all groups.
 
     An odd node moves up as it is. ``most`` bounds the largest group: it sets the
-    number of levels. Each level halves the rows; no group is gathered anywhere.
+    number of levels. Each level halves the rows; no group is gathered anywhere
+    if ``order_col`` numbers it from 0 without holes (``numbered``).
     """
-    by = Window.partitionBy(*group_cols).orderBy(order_col)
-    level = leaves.select(*group_cols, (F.row_number().over(by) - 1).alias("i"), leaf_node(F.col(hash_col)).alias("h"))
+    place = F.col(order_col).cast("long") if numbered else F.row_number().over(Window.partitionBy(*group_cols).orderBy(order_col)) - 1
+    level = leaves.select(*group_cols, place.alias("i"), leaf_node(F.col(hash_col)).alias("h"))
     width = max(1, most)
     while width > 1:
-        pair = level.groupBy(*group_cols, F.floor(F.col("i") / 2).cast("int").alias("i"))
+        pair = level.groupBy(*group_cols, F.floor(F.col("i") / 2).cast("long").alias("i"))
         sides = pair.agg(F.min_by("h", level["i"]).alias("l"), F.max_by("h", level["i"]).alias("r"), F.count(F.lit(1)).alias("n"))
         level = sides.select(*group_cols, "i", F.when(F.col("n") == 2, _node(F.col("l"), F.col("r"))).otherwise(F.col("l")).alias("h"))
         width = (width + 1) // 2
@@ -140,36 +142,54 @@ def merkle_root(hashes: list[str]) -> str:
     return row[0].hex()
 
 
+def _ranked(leaves: DataFrame) -> DataFrame:
+    """seq, rank (1 for the least) and island (equal for neighbours without a gap) of the distinct numbers."""
+    width = 1 << 16
+    present = leaves.select("seq").where("seq IS NOT NULL").distinct().withColumn("chunk", F.floor(F.col("seq") / width))
+    chunks = present.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+    before = chunks.select(F.col("chunk").alias("of"), (F.sum("n").over(Window.orderBy("chunk")) - F.col("n")).alias("before"))  # a row per 65,536 numbers
+    within = Window.partitionBy("chunk").orderBy("seq")
+    ranked = present.join(before, F.col("chunk") == F.col("of")).withColumn("rank", F.col("before") + F.row_number().over(within))
+    return ranked.select("seq", "rank", (F.col("seq") - F.col("rank")).alias("island"))
+
+
 def seal_coverage(leaves: DataFrame, seals: DataFrame) -> DataFrame:
     """Per seal the leaves present in its range and the first one that is missing.
 
-    Never builds a seal's range: ranks are counted among the leaves that are
-    present, in chunks of the sequence, and a seal meets chunks, not all leaves.
+    Never builds a seal's range: leaves are ranked, and both ends of a seal meet
+    the last leaf at or before them. All joins are by equality.
     Columns of leaves: seq; of seals: seal_id, first_seq, last_seq.
     """
-    width = 1 << 16
-    present = leaves.select("seq").where("seq IS NOT NULL").distinct().withColumn("chunk", F.floor(F.col("seq") / width))
-    chunks = present.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high"))
-    inside = (F.col("last_seq") >= F.col("low")) & (F.col("first_seq") <= F.col("high"))
-    met = seals.select("seal_id", "first_seq", "last_seq").join(chunks, inside)
-    whole = (F.col("first_seq") <= F.col("low")) & (F.col("high") <= F.col("last_seq")) & (F.col("high") - F.col("low") + 1 == F.col("n"))
-    dense = met.where(whole).select("seal_id", F.col("low").alias("a"), F.col("high").alias("b"), "n")
-    edge = met.where(~whole).select("seal_id", "first_seq", "last_seq", "chunk").join(present, "chunk").where(F.col("seq").between(F.col("first_seq"), F.col("last_seq")))
-    order = Window.partitionBy("seal_id", "chunk").orderBy("seq")
-    runs = edge.withColumn("island", F.col("seq") - F.row_number().over(order)).groupBy("seal_id", "chunk", "island").agg(F.min("seq").alias("a"), F.max("seq").alias("b"), F.count(F.lit(1)).alias("n"))
-    islands = dense.unionByName(runs.select("seal_id", "a", "b", "n"))
-    prior = Window.partitionBy("seal_id").orderBy("a")
     named = seals.select("seal_id", "first_seq", "last_seq")
-    steps = islands.join(named, "seal_id").withColumn("from", F.coalesce(F.lag("b").over(prior) + 1, F.col("first_seq")))
-    found = steps.groupBy("seal_id").agg(F.sum("n").alias("covered"), F.min(F.when(F.col("a") > F.col("from"), F.col("from"))).alias("hole"), F.max("b").alias("end"))
-    return named.join(found, "seal_id", "left").select(
-        "seal_id", "first_seq", "last_seq",
-        (F.col("last_seq") - F.col("first_seq") + 1).alias("expected"),
-        F.coalesce("covered", F.lit(0)).alias("covered"),
-        F.when(F.coalesce("covered", F.lit(0)) < F.col("last_seq") - F.col("first_seq") + 1, F.coalesce("hole", F.col("end") + 1, "first_seq")).alias("missing_seq"),
+    ranked = _ranked(leaves)
+    ends = F.explode(F.array(*(F.struct(F.lit(k).alias("end"), v.alias("at")) for k, v in enumerate((F.col("first_seq") - 1, F.col("first_seq"), F.col("last_seq"))))))
+    points = named.select("seal_id", "first_seq", "last_seq", ends.alias("e")).select("seal_id", "first_seq", "last_seq", "e.end", "e.at")
+    met = as_of(points, ranked.withColumn("at", F.col("seq")), [], "at", F.struct("seq", "rank", "island"), 1 << 16)
+    rank = lambda end: F.coalesce(F.max(F.when(F.col("end") == end, F.col("mark.rank"))), F.lit(0))
+    at_first = F.max(F.when((F.col("end") == 1) & (F.col("mark.seq") == F.col("first_seq")), F.col("mark.island")))
+    found = met.groupBy("seal_id", "first_seq", "last_seq").agg(F.greatest(rank(2) - rank(0), F.lit(0)).alias("covered"), at_first.alias("island"))
+    islands = ranked.groupBy("island").agg(F.max("seq").alias("upto"))
+    expected = F.col("last_seq") - F.col("first_seq") + 1
+    return found.join(islands, "island", "left").select(
+        "seal_id", "first_seq", "last_seq", expected.alias("expected"), "covered",
+        F.when(F.col("covered") < expected, F.coalesce(F.col("upto") + 1, "first_seq")).alias("missing_seq"),
     )
 
 
+def sealed_leaves(leaves: DataFrame, full: DataFrame) -> DataFrame:
+    """seal_id, i (from 0) and leaf_hash of seals whose leaves are all there.
+
+    Seals and leaves meet by equality on short stretches of the sequence; a seal
+    has as many as its leaves fill.
+    """
+    width = 256
+    stretches = F.sequence(F.floor(F.col("first_seq") / width), F.floor(F.col("last_seq") / width))
+    spread = full.select("seal_id", "first_seq", "last_seq", F.explode(stretches).alias("stretch"))
+    placed = leaves.select("seq", "leaf_hash", F.floor(F.col("seq") / width).alias("stretch"))
+    met = spread.join(placed, "stretch").where(F.col("seq").between(F.col("first_seq"), F.col("last_seq")))
+    return met.select("seal_id", (F.col("seq") - F.col("first_seq")).alias("i"), "leaf_hash")
+
+
 def leaves_digest(leaves: DataFrame) -> str:
     """SHA-256 of the sorted [seq, leaf_hash] list, streamed in order through the driver."""
     h, first = hashlib.sha256(b"["), True
@@ -195,11 +215,10 @@ def certificate_cover(leaves: DataFrame, certificates: DataFrame) -> DataFrame:
 def seal_failures(leaves: DataFrame, seals: DataFrame, binds_content: bool, most: int = 1 << 16) -> DataFrame:
     """first_seq, check, message of failing seals; partial ones are warnings and not here."""
     cover = seal_coverage(leaves, seals).join(seals.select("seal_id", "merkle_root", "seal_hash", "recomputed"), "seal_id")
-    ends = leaves.agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.countDistinct("seq").alias("n"))
-    c = cover.crossJoin(F.broadcast(ends))  # one row of ends
+    ends = leaves.agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.countDistinct("seq").alias("n")).first()
+    c = cover.withColumns({k: F.lit(ends[k]).cast("long") for k in ("low", "high", "n")})
     full = c.where("covered = expected").select("seal_id", "first_seq", "last_seq", "merkle_root")
-    inside = full.join(leaves.select("seq", "leaf_hash"), F.col("seq").between(F.col("first_seq"), F.col("last_seq")))
-    roots = merkle_roots(inside, ["seal_id"], "seq", "leaf_hash", most)
+    roots = merkle_roots(sealed_leaves(leaves, full), ["seal_id"], "i", "leaf_hash", most, numbered=True)
     wrong = full.join(roots, "seal_id").where("root <> merkle_root")
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
     out = c.where(~F.col("seal_hash").eqNullSafe(F.col("recomputed"))).select("first_seq", F.lit(1).alias("check"), text("seal_hash mismatch for seal ", F.col("seal_id")).alias("message"))

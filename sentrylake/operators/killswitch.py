@@ -55,26 +55,40 @@ def panic(trips: DataFrame, seconds: int = WINDOW_SECONDS, threshold: int = THRE
     return first.where(F.col("f").isNotNull()).select(F.col("f.ts").alias("panicked_at"), "f.run", "f.n")
 
 
+#: Microseconds of a time bucket in which queries meet the flags of their run.
+MINUTE = 60_000_000
+
+
+def _state(queries: DataFrame, flags: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The queries with the last flag at or before their time, off without one.
+
+    A bucket's flags are one array, met by equality; of a run only its buckets
+    are ordered. Flags at the same time: on counts.
+    """
+    place = F.floor(micros(F.col("ts")) / MINUTE).alias("bucket")
+    met = flags.groupBy(*by, place).agg(F.array_sort(F.collect_list(F.struct(micros(F.col("ts")).alias("us"), "on"))).alias("flags"))
+    asked = queries.withColumn("bucket", place)
+    buckets = asked.select(*by, "bucket").unionByName(met.select(*by, "bucket")).distinct()
+    earlier = Window.partitionBy(*by or [F.lit(0)]).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.element_at("flags", -1)["on"], ignorenulls=True)
+    held = buckets.join(met, [*by, "bucket"], "left").withColumn("carried", last.over(earlier)).where("flags IS NOT NULL OR carried")
+    here = F.get(F.reverse(F.filter("flags", lambda f: f["us"] <= micros(F.col("ts")))), F.lit(0))["on"]
+    found = F.coalesce(F.when(F.col("flags").isNotNull(), here), "carried", F.lit(False)).alias(name)
+    return asked.join(held, [*by, "bucket"], "left").select(*queries.columns, found)
+
+
 def state_as_of(queries: DataFrame, log: DataFrame) -> DataFrame:
     """Whether a run is killed at a time: the global flag first, then the run's own.
 
     queries: query_id, run, ts. log: run (null: global), ts, on (trip or clear).
-    The last log row at or before the query's time decides; found by merging
-    both along time within each run.
+    The last log row at or before the query's time decides. A query without a
+    run or a time has no state of its own.
     """
-    q = queries.select(F.col("query_id"), F.col("run"), F.col("ts"), F.lit(None).cast("boolean").alias("on"), F.lit(1).alias("side"))
-    own = log.where(F.col("run").isNotNull())
-    rows = own.select(F.lit(None).cast("long").alias("query_id"), "run", "ts", "on", F.lit(0).alias("side")).unionByName(q)
-    before = Window.partitionBy("run").orderBy("ts", "side").rowsBetween(Window.unboundedPreceding, 0)
-    runs = rows.withColumn("killed", F.coalesce(F.last("on", ignorenulls=True).over(before), F.lit(False))).where("side = 1")
-    # Global flags are few: operators' acts and panics; each holds until the next.
-    ordered = Window.partitionBy(F.lit(0)).orderBy("ts")
-    spans = log.where(F.col("run").isNull()).select("ts", "on", F.lead("ts").over(ordered).alias("until")).where("on")
-    held = F.col("q.ts") >= F.col("g.ts")
-    met = runs.alias("q").join(spans.alias("g"), held & (F.col("g.until").isNull() | (F.col("q.ts") < F.col("g.until"))), "left")
-    return met.groupBy("q.query_id", "q.run", "q.ts").agg(
-        F.max("q.killed").alias("run_killed"), F.max(F.col("g.ts").isNotNull()).alias("panic")
-    ).select("query_id", "run", "ts", "panic", "run_killed", (F.col("panic") | F.col("run_killed")).alias("killed"))
+    asked = queries.select("query_id", "run", "ts")
+    own = _state(asked.where("run IS NOT NULL"), log.where("run IS NOT NULL"), ["run"], "run_killed")
+    both = own.unionByName(asked.where("run IS NULL").withColumn("run_killed", F.lit(False)))
+    found = _state(both, log.where("run IS NULL"), [], "panic")
+    return found.select("query_id", "run", "ts", "panic", "run_killed", (F.col("panic") | F.col("run_killed")).alias("killed"))
 
 
 def recent(trips: DataFrame, limit: int = 50, ts_col: str = "ts", id_col: str = "id") -> DataFrame:

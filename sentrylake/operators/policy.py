@@ -180,7 +180,8 @@ def evaluate(text: Column, rules: Sequence[PolicyRule], config: PolicyConfig | N
     return let(present(text), report)
 
 
-def _findings(shown: Column, rules: Sequence[PolicyRule], config: PolicyConfig) -> Column:
+def _hits(shown: Column, rules: Sequence[PolicyRule], config: PolicyConfig) -> Column:
+    """Array of the findings of rules with patterns, in the rules' order."""
     low = F.lower(shown)
     approved = F.lit(False)
     for marker in config.approval_markers:
@@ -196,12 +197,17 @@ def _findings(shown: Column, rules: Sequence[PolicyRule], config: PolicyConfig)
             pattern = F.coalesce(*hits)
             values = [F.lit(rule.rule_id), F.lit(rule.title), F.lit(rule.category), F.lit(rule.severity), pattern, F.lit(rule.summary)]
             each.append(F.when(pattern.isNotNull(), F.struct(*(v.alias(n) for n, v in zip(FINDING, values)))))
+    none = F.array().cast("array<struct<" + ",".join(f"{n}:string" for n in FINDING) + ">>")
+    return F.filter(F.array(*each), lambda x: x.isNotNull()) if each else none
+
+
+def _findings(shown: Column, rules: Sequence[PolicyRule], config: PolicyConfig) -> Column:
+    hits = _hits(shown, rules, config)
     behaved = conduct(shown)
     taken = [r.rule_id for r in rules if r.rule_id in {c[0] for c in V.CONDUCT_RULES} and r.valid_patterns()]
     if taken:
-        ids = F.transform(F.filter(F.array(*each), lambda x: x.isNotNull()), lambda f: f["rule_id"])
-        behaved = F.filter(behaved, lambda f: ~F.array_contains(ids, f["rule_id"]))
-    found = F.concat(F.filter(F.array(*each), lambda x: x.isNotNull()), behaved) if each else behaved
+        behaved = F.filter(behaved, lambda f: ~F.array_contains(F.transform(hits, lambda h: h["rule_id"]), f["rule_id"]))
+    found = F.concat(hits, behaved) if any(r.valid_patterns() for r in rules) else behaved
     return F.when((shown != "") & F.lit(bool(rules)), found).otherwise(F.filter(behaved, lambda f: F.lit(False)))
 
 
@@ -217,22 +223,29 @@ def _report(text: Column, found: Column, rules: Sequence[PolicyRule], config: Po
     )
 
 
-def enforce_table(texts: DataFrame, rules: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Findings for a rule table too long for literals: each text against the stated rules.
+#: Rules of a table that one projection holds as literals.
+RULES_AT_ONCE = 100
+
 
-    Columns of rules: rule_id, title, category, severity, summary, violation_patterns.
-    The rules are a stated query set; the texts stream past them.
+def enforce_table(
+    texts: DataFrame, rules: DataFrame, key: str = "doc_id", text_col: str = "text", config: PolicyConfig | None = None, at_once: int = RULES_AT_ONCE
+) -> DataFrame:
+    """Findings of a rule table, one row per text and rule, as ``evaluate`` has them but for the conduct check.
+
+    Columns of rules: rule_id, title, category, severity, summary,
+    violation_patterns. Rules are configuration and are read by the driver;
+    patterns that are no expressions or null are skipped. Each ``at_once`` rules
+    are one projection over the texts, so that a pattern compiles once a task.
     """
-    each = rules.select("rule_id", "title", "category", "severity", "summary", F.posexplode("violation_patterns").alias("pos", "pattern"))
-    low = F.lower(present(F.col(text_col)))
-    approved = F.lit(False)
-    for marker in V.APPROVAL_MARKERS:
-        approved = approved | low.contains(marker)
-    left = texts.select(key, present(F.col(text_col)).alias("__text"), approved.alias("__approved"))
-    hit = F.expr("__text rlike concat('(?dUiu)', pattern)") & ~(F.col("__approved") & F.contains(F.lower("summary"), F.lit("approval")))
-    return (
-        left.join(each, hit)
-        .groupBy(key, "rule_id")
-        .agg(F.min_by(F.struct("title", "category", "severity", "pattern"), "pos").alias("f"))
-        .select(key, "rule_id", "f.title", "f.category", "f.severity", F.left("f.pattern", F.lit(120)).alias("matched_pattern"))
-    )
+    listed = [
+        PolicyRule(r["rule_id"], r["title"] or "", r["summary"] or "", r["category"] or "", "", (), tuple(p for p in r["violation_patterns"] or () if p is not None), r["severity"] or "")
+        for r in rules.select("rule_id", "title", "category", "severity", "summary", "violation_patterns").toLocalIterator()
+    ]
+    out = None
+    for low in range(0, max(len(listed), 1), at_once):
+        some = listed[low : low + at_once]
+        found = let(present(F.col(text_col)), lambda t: _hits(t, some, config or PolicyConfig()))  # noqa: B023 - called at once
+        part = texts.where(F.col(text_col) != "").select(key, F.explode(found).alias("f"))
+        part = part.select(key, "f.rule_id", F.col("f.rule_title").alias("title"), "f.category", "f.severity", "f.matched_pattern")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .asof import as_of
+
 
 def continuity_failures(seals: DataFrame, order_col: str = "pos") -> DataFrame:
     """pos, check, message for seals in proof order: range, billable, link and overlap.
@@ -64,25 +66,14 @@ def usage_bounds(anchors: DataFrame, first_seq: int, last_seq: int) -> DataFrame
 
 
 def anchor_before(starts: DataFrame, anchors: DataFrame, start_col: str = "start_seq") -> DataFrame:
-    """The newest anchor at or before each start (an as-of join by merging along the sequence).
+    """The newest anchor at or before each start.
 
-    Merges within ranges of the sequence; a range without an earlier anchor takes
-    the newest of the ranges before, so that no task sees a whole chain.
     Columns of anchors: chain, last_seq, billable_through; starts: chain, start_seq.
     """
-    width = 1 << 12
-    both = anchors.select("chain", F.col("last_seq").alias("at"), F.struct("last_seq", "billable_through").alias("a"), F.lit(0).alias("side")).unionByName(
-        starts.select("chain", F.col(start_col).alias("at"), F.lit(None).cast("struct<last_seq:bigint,billable_through:bigint>").alias("a"), F.lit(1).alias("side"))
-    )
-    both = both.withColumn("range", F.floor(F.col("at") / width))
-    newest = both.groupBy("chain", "range").agg(F.max("a").alias("a"))
-    earlier = Window.partitionBy("chain").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = newest.select(F.col("chain").alias("of"), F.col("range").alias("in"), F.last("a", ignorenulls=True).over(earlier).alias("carried"))
-    so_far = Window.partitionBy("chain", "range").orderBy("at", "side", "a").rowsBetween(Window.unboundedPreceding, 0)
-    within = both.withColumn("a", F.last("a", ignorenulls=True).over(so_far)).where("side = 1")
-    same = F.col("chain").eqNullSafe(F.col("of")) & F.col("range").eqNullSafe(F.col("in"))
-    met = within.join(carried, same).withColumn("a", F.coalesce("a", "carried"))
-    return met.select("chain", F.col("at").alias(start_col), "a.last_seq", "a.billable_through")
+    points = starts.select("chain", F.col(start_col).alias("at"))
+    marks = anchors.select("chain", F.col("last_seq").alias("at"), "last_seq", "billable_through")
+    found = as_of(points, marks, ["chain"], "at", F.struct("last_seq", "billable_through"))
+    return found.select("chain", F.col("at").alias(start_col), "mark.last_seq", "mark.billable_through")
 
 
 def attestation(seals: DataFrame, anchors: DataFrame, first_seq: int, last_seq: int, declared: int) -> DataFrame:
