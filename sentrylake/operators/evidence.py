@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from . import custody
 from .asof import as_of
 from .ledger import canonical
 
@@ -243,30 +244,67 @@ def manifest_mismatches(leaves: DataFrame, n_seals: int, manifest: dict) -> list
     return out
 
 
-def verify_bundle(leaf_lines: DataFrame, seal_lines: DataFrame, manifest: dict | None = None, manifest_trusted: bool = False) -> DataFrame:
-    """One row: ok, leaves_checked, seals_checked, first_bad_seq, error, signatures_skipped.
-
-    Whoever can check the manifest's signature says so with ``manifest_trusted``.
+RESULT = (
+    "ok boolean, leaves_checked long, seals_checked long, first_bad_seq long, error string, signatures_skipped boolean, "
+    "warnings array<string>, rotations_checked int, unexplained_key_ids array<string>, attestation string, attestation_reasons array<string>"
+)
+
+
+def verify_bundle(
+    leaf_lines: DataFrame,
+    seal_lines: DataFrame,
+    manifest: dict | None = None,
+    manifest_trusted: bool = False,
+    keys: list | None = None,
+    rotations: list | None = None,
+    certificates: dict | None = None,
+    signed: custody.Signed | None = None,
+    root: str | None = None,
+) -> DataFrame:
+    """One row: whether the bundle holds, how far it was checked, and the first failure in the order of the checks.
+
+    Whoever can check the manifest's signature says so with ``manifest_trusted``;
+    ``signed`` checks those of key handovers. Leaf and seal signatures and
+    certificates are not checked, so a bundle is self-attested at best. Whatever
+    hostile bytes raise on the way is a failure of the bundle.
     """
     spark = leaf_lines.sparkSession
     leaves, seals = parse_leaves(leaf_lines).cache(), parse_seals(seal_lines).cache()
-    manifest = manifest or {}
+    try:
+        row = _verified(leaves, seals, manifest or {}, manifest_trusted, keys or [], rotations or [], certificates or {}, signed, root)
+    except Exception as e:  # noqa: BLE001 - fails closed
+        row = (False, 0, 0, None, f"malformed bundle ({type(e).__name__})", True, [], 0, [], None, [])
+    leaves.unpersist()
+    seals.unpersist()
+    return spark.createDataFrame([row], RESULT)
+
+
+def _verified(leaves, seals, manifest, trusted, keys, rotations, certificates, signed, root) -> tuple:
     n_seals = seals.count()
     failure = leaf_failures(leaves).orderBy(F.asc_nulls_first("seq"), "check").first()
     said = (failure["seq"], failure["message"]) if failure else None
     checked = leaves.count() if said is None else (leaves.where(F.col("seq") < said[0]).count() if said[0] is not None else 0)
+    held = custody.Custody()
+    unexplained: list[str] = []
+    if said is None:
+        held = custody.check_custody(manifest, trusted, keys, rotations, signed)
+        said = (None, held.error) if held.error else None
+        if held.rotations_checked and not held.error:
+            used = leaves.select("signer_key_id").union(seals.select("signer_key_id")).where("signer_key_id IS NOT NULL").distinct()
+            named = leaves.sparkSession.createDataFrame([(k,) for k in sorted(held.explained)], "signer_key_id string")
+            unexplained = sorted(r[0] for r in used.join(named, "signer_key_id", "left_anti").toLocalIterator())  # keys of a bundle are few
     if said is None and seals.where("recomputed IS NULL").limit(1).count():
         said = (None, "malformed seal record")
     if said is None and seals.where("first_seq IS NULL OR last_seq IS NULL").limit(1).count():
         said = (None, "non-integer seal range (malformed record)")
     if said is None:
-        binds = manifest_trusted and manifest.get("leaves_digest") is not None
+        binds = trusted and manifest.get("leaves_digest") is not None
         widest = seals.agg(F.max(F.col("last_seq") - F.col("first_seq") + 1)).first()[0] or 1
         bad = seal_failures(leaves, seals, binds, min(int(widest), max(checked, 1))).orderBy("first_seq", "check").first()
         said = (bad["first_seq"], bad["message"]) if bad else None
-    if said is None and manifest_trusted and (wrong := manifest_mismatches(leaves, n_seals, manifest)):
+    if said is None and trusted and (wrong := manifest_mismatches(leaves, n_seals, manifest)):
         said = (leaves.agg(F.min("seq")).first()[0], "signed manifest commits to records that are not present (" + ", ".join(wrong) + ")")
-    row = (said is None, checked, n_seals if said is None else 0, said[0] if said else None, said[1] if said else None, True)
-    leaves.unpersist()
-    seals.unpersist()
-    return spark.createDataFrame([row], "ok boolean, leaves_checked long, seals_checked long, first_bad_seq long, error string, signatures_skipped boolean")
+    if said:
+        return (False, checked, 0, *said, True, held.warnings, held.rotations_checked, unexplained, None, [])
+    reason = custody.claim(certificates, False, trusted, root)
+    return (True, checked, n_seals, None, None, True, held.warnings, held.rotations_checked, unexplained, "SELF-ATTESTED", [reason])

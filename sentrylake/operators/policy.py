@@ -63,9 +63,9 @@ def has_secrets(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences of at least 24 characters, without a leading keyword-hits header."""
     raw = F.regexp_replace(present(text), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
-    headed = F.lower(raw).startswith("keyword hits:")
+    headed = F.lower(raw).startswith(V.POLICY_HEADER)
     parts = F.split(raw, r"(?U)\n[\s\x1c-\x1f]*\n", 2)
-    body = F.when(F.size(parts) > 1, F.element_at(parts, 2)).otherwise(F.regexp_replace(raw, r"(?i)^keyword hits:[^\n]*\n?", ""))
+    body = F.when(F.size(parts) > 1, F.element_at(parts, 2)).otherwise(F.regexp_replace(raw, V.POLICY_HEADER_LINE, ""))
     compact = collapse(F.when(headed, body).otherwise(raw))
     chunks = F.transform(F.split(compact, r"(?U)(?<=[.!?])[\s\x1c-\x1f]+"), lambda c: F.trim(c))
     return F.filter(chunks, lambda c: F.length(c) >= 24)
@@ -86,10 +86,10 @@ def sentence_patterns(sentence: Column) -> Column:
         rest = first_match(sentence, rf"\b{prefix}\s+(.{{5,140}})", "i", 1)
         fragment = F.trim(F.element_at(F.split(rest, "[.;]"), 1))
         found.append(F.when(rest != "", _fragment_pattern(fragment)))
-    found.append(F.when(matches(sentence, r"without\s+.{3,60}approval", "i"), F.lit(V.POLICY_APPROVAL_PATTERN)))
-    number = first_match(sentence, r"not exceed\s+(\d+)\s+(\w+)", "i", 1)
-    unit = first_match(sentence, r"not exceed\s+(\d+)\s+(\w+)", "i", 2)
-    limit = F.concat(F.lit(r"(?:exceed|longer than|more than)\s+"), number, F.lit(r"\s+"), unit)
+    found.append(F.when(matches(sentence, V.POLICY_WITHOUT, "i"), F.lit(V.POLICY_APPROVAL_PATTERN)))
+    number = first_match(sentence, V.POLICY_LIMIT, "i", 1)
+    unit = first_match(sentence, V.POLICY_LIMIT, "i", 2)
+    limit = F.concat(F.lit(V.POLICY_OVER), number, F.lit(r"\s+"), unit)
     found.append(F.when(number != "", limit))
     return F.slice(F.array_distinct(F.filter(F.array(*found), lambda p: p.isNotNull())), 1, 6)
 

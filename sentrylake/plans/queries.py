@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import preview, wrap_untrusted
-from ..operators import actions, contracts, decide, evidence, grading, injection, killswitch, ledger, pii, policy, report, usage
+from ..operators import actions, agent, contracts, decide, evidence, grading, injection, killswitch, ledger, pii, policy, report, usage
 from . import seeds as S
 from . import sql as Q
 
@@ -258,7 +258,17 @@ def compliance_violations(spark, sf_dir):
     return grading.compliance_violations(_graded(spark, sf_dir), "turn_id").select("turn_id", "control_id", "severity")
 
 
-@query("SELECT conv_id, turn, 'A' AS grade FROM conversations WHERE role = 'system'")
+_HARDENED = "rtrim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || chr(10) || chr(10) || " + S.quoted(grading.APPENDIX["base"])
+
+
+@query(
+    f"""
+WITH d AS (SELECT conv_id, turn, {_HARDENED} AS t FROM conversations WHERE role = 'system'),
+v AS (SELECT conv_id, turn, unnest({Q.vector_rows()}) AS v FROM d),
+s AS (SELECT conv_id, turn, round_even(count(*) FILTER (WHERE v.matched >= v.required) * 100.0 / count(*), 0)::INT AS score FROM v GROUP BY ALL)
+SELECT conv_id, turn, {Q.grade_case('score')} AS grade FROM s
+"""
+)
 def grade_augmented_prompts(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where("role = 'system'").select("conv_id", "turn", "text")
     hardened = turns.withColumn("text", grading.augment(F.col("text")))
@@ -423,7 +433,23 @@ def minimise_customer(spark, sf_dir):
 # --- contracts and decisions ---------------------------------------------------------------------------
 
 
-@query()
+_CALL_RESULTS = [
+    (True, "none", 0, "search"),
+    (False, "high", 1, "search"),  # q is missing
+    (False, "medium", 1, "mail"),  # cc is not allowed
+    (False, "medium", 1, "other"),  # not declared
+    (False, "high", 1, ""),  # no JSON
+    (False, "high", 1, ""),  # no call
+    (False, "high", 1, ""),  # no name
+    (False, "high", 1, "search"),  # arguments are a list
+]
+
+
+@query(
+    "SELECT event_id, ok, severity, n_findings::INT AS n_findings, tools FROM events JOIN (VALUES "
+    + ", ".join(f"({k}, {str(ok).lower()}, {S.quoted(severity)}, {n}, {S.quoted(tools)})" for k, (ok, severity, n, tools) in enumerate(_CALL_RESULTS))
+    + f") AS s(k, ok, severity, n_findings, tools) ON event_id % {len(S.CALLS)} = k"
+)
 def tool_contracts(spark, sf_dir):
     df = S.seeded(table(spark, sf_dir, "events").select("event_id"), S.CALLS, "event_id", None)
     made = df.select("event_id", contracts.inspect(F.col("text"), S.CONTRACTS).alias("r"))
@@ -526,6 +552,28 @@ def kill_state_as_of(spark, sf_dir):
     return found.select(F.col("query_id").alias("event_id"), "run_killed", "panic", "killed")
 
 
+def _agent_sql() -> str:
+    first = "min(struct_pack(ts := ts, id := event_id)) FILTER (WHERE sev = 4)"
+    return f"""
+WITH a AS (SELECT event_id, user_id, ts, coalesce(list_max(list_transform({Q.action_list()}, lambda x: x.sev)), 0) AS sev
+           FROM {S.seeded_sql('events', S.ACTIONS, 'event_id', 'props', more='user_id, ts')}),
+f AS (SELECT user_id, {first} AS first FROM a GROUP BY 1),
+t AS (SELECT user_id, first.ts AS ts, first.id AS id FROM f WHERE first IS NOT NULL),
+c AS (SELECT ts, id, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW) AS n FROM t),
+p AS (SELECT min(struct_pack(ts := ts, id := id)) AS panic FROM c WHERE n >= 5)
+SELECT event_id, CASE WHEN coalesce(struct_pack(ts := ts, id := event_id) > panic, false) OR coalesce(struct_pack(ts := ts, id := event_id) > first, false) THEN 'refused'
+  WHEN sev = 4 THEN 'tripped' WHEN sev > 0 THEN 'flagged' ELSE 'passed' END AS state
+FROM a JOIN f USING (user_id) CROSS JOIN p
+"""
+
+
+@query(_agent_sql())
+def agent_actions(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "props", "user_id", "ts")
+    acts = S.seeded(events, S.ACTIONS, "event_id", "props").select(F.col("event_id").alias("id"), F.col("user_id").alias("run"), "ts", F.col("text").alias("payload"))
+    return agent.screen_actions(acts, seconds=3600).select(F.col("id").alias("event_id"), "state")
+
+
 # --- audit ------------------------------------------------------------------------------------------------
 
 _PREVIEW = r"trim(left(trim(regexp_replace(t, '[\s]+', ' ', 'g')), 96))"
@@ -722,10 +770,20 @@ def bundle_leaf_failures(spark, sf_dir):
     return evidence.leaf_failures(_bundle_leaves(spark, sf_dir)).select("seq", "check")
 
 
-@query("SELECT o_custkey % 7 AS seq, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+@query(
+    """
+WITH k AS (SELECT DISTINCT o_orderkey AS seq FROM orders)
+SELECT seq, 2 AS "check" FROM k WHERE seq % 900 = 11
+UNION ALL SELECT k.seq, 4 AS "check" FROM k JOIN k p ON p.seq + 1 = k.seq WHERE k.seq % 700 = 5
+"""
+)
 def bundle_dup_hash(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("seq"))
-    return orders.groupBy("seq").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Repeated numbers and copied hashes among leaves."""
+    clean = _leaves(spark, sf_dir).distinct()
+    of = F.when(F.col("seq") % 700 == 5, F.col("seq") - 1).otherwise(F.col("seq")).cast("string")
+    leaves = clean.withColumn("leaf_hash", F.sha2(F.concat(F.lit("leaf"), of).cast("binary"), 256))
+    leaves = leaves.unionByName(leaves.where("seq % 900 = 11")).withColumns({"recomputed": F.col("leaf_hash"), "prev_leaf_hash": F.lit(None).cast("string")})
+    return evidence.leaf_failures(leaves).where("check IN (2, 4)").select("seq", "check")
 
 
 @query(
@@ -737,13 +795,59 @@ def leaves_digest(spark, sf_dir):
     return spark.createDataFrame([(evidence.leaves_digest(_leaves(spark, sf_dir)),)], "digest string")
 
 
-@query()
-def bundle_verify(spark, sf_dir):
-    leaf = F.struct(
-        F.concat(F.lit("l"), F.col("o_orderkey")).alias("leaf_id"), F.col("o_orderkey").alias("seq"), F.lit("0").alias("leaf_hash"),
+def _canonical_sql(fields: list[str], **values: str) -> str:
+    """Sorted compact JSON text of a record as an SQL expression; fields without a value are null."""
+    return " || ',' || ".join(f"'\"{k}\":' || {values.get(k, chr(39) + 'null' + chr(39))}" for k in sorted(fields)).join(["'{' || ", " || '}'"])
+
+
+_BUNDLE_LEAF = _canonical_sql(V.LEAF_FIELDS, leaf_id="'\"l' || k || '\"'")
+_BUNDLE_SEAL = _canonical_sql(V.SEAL_FIELDS, seal_id="'\"s' || k || '\"'", first_seq="(2 * k)", last_seq="(2 * k)", merkle_root="'\"' || root || '\"'")
+
+
+def _bundle(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Leaves on even numbers, a seal for every tenth key's leaf."""
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k")).distinct()
+    leaves = keys.select("k", (2 * F.col("k")).alias("seq"), F.concat(F.lit("l"), F.col("k")).alias("leaf_id"), F.sha2(F.expr(_BUNDLE_LEAF).cast("binary"), 256).alias("leaf_hash"))
+    seals = leaves.where("k % 10 = 0").withColumn("root", evidence.leaf_node(F.col("leaf_hash")))
+    seals = seals.select(
+        "k", F.concat(F.lit("s"), F.col("k")).alias("seal_id"), F.col("seq").alias("first_seq"), F.col("seq").alias("last_seq"),
+        F.col("root").alias("merkle_root"), F.sha2(F.expr(_BUNDLE_SEAL).cast("binary"), 256).alias("seal_hash"),
     )
-    lines = table(spark, sf_dir, "orders").select(F.to_json(leaf).alias("value"))
-    return evidence.verify_bundle(lines, spark.createDataFrame([], "value string"))
+    return leaves, seals
+
+
+@query(
+    f"""
+WITH o AS (SELECT DISTINCT o_orderkey AS k FROM orders),
+n AS (SELECT count(*) AS leaves, count(*) FILTER (WHERE k % 10 = 0) AS seals, min(k) FILTER (WHERE k % 1000 = 3) AS edited,
+      min(k) FILTER (WHERE k % 1000 = 20) AS sealed, min(k) FILTER (WHERE k % 1000 = 30) AS gone FROM o)
+SELECT 'clean' AS variant, true AS ok, leaves AS leaves_checked, seals AS seals_checked, NULL::BIGINT AS first_bad_seq, NULL AS error, 'SELF-ATTESTED' AS attestation FROM n
+UNION ALL SELECT 'edited leaf', false, (SELECT count(*) FROM o WHERE k < n.edited), 0, 2 * edited, 'leaf_hash mismatch at seq ' || 2 * edited, NULL FROM n
+UNION ALL SELECT 'edited seal', false, leaves, 0, 2 * sealed, 'seal_hash mismatch for seal s' || sealed, NULL FROM n
+UNION ALL SELECT 'deleted leaf', false, leaves - 1, 0, 2 * gone, 'deleted leaf — seal s' || gone || ' (missing seq ' || 2 * gone || ')', NULL FROM n
+UNION ALL SELECT 'odd handover', false, leaves, 0, NULL, 'key handover carries no record', NULL FROM n
+"""
+)
+def bundle_verify(spark, sf_dir):
+    """A bundle of all orders that holds, and what is said of it when it has been tampered with."""
+    leaves, seals = _bundle(spark, sf_dir)
+    low = leaves.agg(*(F.min(F.when(F.col("k") % 1000 == r, F.col("k"))).alias(f"r{r}") for r in (3, 20, 30))).first()
+    edited = leaves.withColumn("action", F.when(F.col("k") == low["r3"], "x"))
+    forged = seals.withColumn("sealed_at", F.when(F.col("k") == low["r20"], "x"))
+    variants = [
+        ("clean", leaves, seals, []),
+        ("edited leaf", edited, seals, []),
+        ("edited seal", leaves, forged, []),
+        ("deleted leaf", leaves.where(F.col("k") != low["r30"]), seals, []),
+        ("odd handover", leaves, seals, [{"retiring_key_id": "a"}]),
+    ]
+    lines = lambda df: df.select(F.to_json(F.struct(*(c for c in df.columns if c != "k"))).alias("value"))
+    out = None
+    for name, some, sealed, rotations in variants:
+        made = evidence.verify_bundle(lines(some), lines(sealed), rotations=rotations)
+        made = made.select(F.lit(name).alias("variant"), "ok", "leaves_checked", "seals_checked", "first_bad_seq", "error", "attestation")
+        out = made if out is None else out.unionByName(made)
+    return out
 
 
 @query(
