@@ -1,12 +1,13 @@
 """Evidence bundles and event logs as tables; small JSON parts on the driver.
 
 Log lines are read by Spark, so they may lie in any store it knows. Zip files
-are unpacked line by line on the driver into the shared folder first.
+are unpacked by the driver into the shared folder first.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zipfile
 from dataclasses import dataclass, field
@@ -73,9 +74,9 @@ def _small(spark: SparkSession, path: str, kind: type):
 
 
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
-    """A bundle directory, or a zip file on the driver's disk."""
+    """A bundle directory in any store, or a zip file on the driver's disk."""
     if path.endswith(".zip"):
-        path = unpack(path)
+        path = unpack(spark, path)
     return Bundle(
         read_lines(spark, f"{path}/leaves.jsonl"),
         read_lines(spark, f"{path}/seals.jsonl"),
@@ -86,14 +87,27 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
     )
 
 
-def unpack(path: str) -> str:
-    """The bundle's own members beside the zip file, in a folder of their own."""
-    folder = f"{path[:-4]}-{uuid.uuid4().hex}"
-    wanted = {"leaves.jsonl", "seals.jsonl", "keys.json", "manifest.json", "certificates.json", "key-rotations.json"}
+MEMBERS = {"leaves.jsonl", "seals.jsonl", "keys.json", "manifest.json", "certificates.json", "key-rotations.json"}
+
+
+def unpack(spark: SparkSession, path: str) -> str:
+    """A folder with the bundle's own members in the shared folder that spark.checkpoint.dir names.
+
+    Beside the zip file only where none is set, as in a local session.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or os.path.dirname(os.path.abspath(path))
+    folder = f"{shared}/bundle-{uuid.uuid4().hex}"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     with zipfile.ZipFile(path) as z:
-        for name in z.namelist():
-            if name in wanted:
-                z.extract(name, folder)
+        for name in sorted(MEMBERS & set(z.namelist())):
+            where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+            out = where.getFileSystem(conf).create(where)
+            try:
+                with z.open(name) as member:
+                    while part := member.read(1 << 20):
+                        out.write(bytearray(part))
+            finally:
+                out.close()
     return folder
 
 

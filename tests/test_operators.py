@@ -198,6 +198,16 @@ def test_sources_and_stream(spark, tmp_path):
     (tmp_path / "b/seals.jsonl").write_text("\n".join(map(json.dumps, seals)))
     b = load_bundle(spark, str(tmp_path / "b"))
     assert evidence.verify_bundle(b.leaves, b.seals).first()["ok"] and b.keys == []
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.write(tmp_path / "b/leaves.jsonl", "leaves.jsonl")
+        z.write(tmp_path / "b/seals.jsonl", "seals.jsonl")
+        z.writestr("manifest.json", '{"leaf_count": 5}')
+        z.writestr("../outside.json", "{}")
+    packed = load_bundle(spark, str(tmp_path / "b.zip"))
+    assert packed.manifest == {"leaf_count": 5} and sorted(packed.leaves.collect()) == sorted(b.leaves.collect())
+    assert evidence.verify_bundle(packed.leaves, packed.seals).first()["ok"]
     acts = [("r", 1, "critical"), ("r", 2, "x"), ("r", 3, "clear"), ("r", 4, "x"), ("s", 1, "x")]
     spark.createDataFrame(acts, "run string, s int, event string").withColumn("ts", F.timestamp_seconds("s")).drop("s").write.parquet(str(tmp_path / "acts"))
     stream = spark.readStream.schema("run string, event string, ts timestamp").parquet(str(tmp_path / "acts"))
