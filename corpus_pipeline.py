@@ -3,6 +3,13 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All stages but the last
 return the columns of documents.
+
+Defined cases: a null text is empty, has no words and goes with the quality
+rules; a null doc_id takes part, is never learned from, and of equal or near
+texts gives way to any id; repeated rows are copies of each other, one of them
+stays; an empty table passes through all stages; without usable labels no
+document is toxic beyond the smoothed share of none; other columns are kept up
+to packing, which returns its own.
 """
 
 from __future__ import annotations
