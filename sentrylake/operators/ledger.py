@@ -127,27 +127,32 @@ def append_lines(records: list[dict], key: bytes, seq: int = 0, tip: str = V.GEN
         yield line
 
 
-def build_chain(records: DataFrame, key: bytes, chain_col: str, order_col: str, json_col: str) -> DataFrame:
+def build_chain(records: DataFrame, key: bytes, chain_col: str, order_col: str, json_col: str, tips: DataFrame | None = None) -> DataFrame:
     """chain, pos, line: each chain folded in order by one task; chains are independent.
 
     A chain is sequential by definition, so one chain's rows meet in one task
-    and stream through it in order; they are never gathered in memory.
+    and stream through it in order; they are never gathered in memory. ``tips``
+    (chain, seq, tip) are the ends of stored chains to go on from.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chain, seq, tip = None, 0, V.GENESIS
         for pdf in batches:
             out = []
-            for c, text in zip(pdf["chain"], pdf["body"]):
+            for c, text, last, end in zip(pdf["chain"], pdf["body"], pdf["seq"], pdf["tip"]):
                 if c != chain:
-                    chain, seq, tip = c, 0, V.GENESIS
+                    chain, seq, tip = (c, 0, V.GENESIS) if end is None else (c, int(last), end)
                 line = next(append_lines([json.loads(text)], key, seq, tip))
                 seq, tip = seq + 1, hashlib.sha256(line.encode()).hexdigest()
                 out.append((c, seq, line))
             yield pd.DataFrame(out, columns=["chain", "pos", "line"])
 
     rows = records.select(F.col(chain_col).cast("string").alias("chain"), F.col(order_col).alias("at"), F.col(json_col).alias("body"))
-    dealt = rows.repartition("chain").sortWithinPartitions("chain", "at").select("chain", "body")
+    if tips is None:
+        rows = rows.withColumns({"seq": F.lit(None).cast("long"), "tip": F.lit(None).cast("string")})
+    else:
+        rows = rows.join(tips.select("chain", "seq", "tip"), "chain", "left")
+    dealt = rows.repartition("chain").sortWithinPartitions("chain", "at").select("chain", "body", "seq", "tip")
     return dealt.mapInPandas(run, "chain string, pos long, line string")
 
 
@@ -194,12 +199,15 @@ def verify_chain(lines: DataFrame, key: bytes | None = None) -> DataFrame:
     """One row per chain: ok, entries_checked, first_bad_seq, error of the first failing line.
 
     ``pos`` numbers a chain's non-blank lines from 1 without holes. Neighbours
-    meet in an equi-join on the position, so a long chain is not one task's work.
+    meet by position in one shuffle (each line's hash is sent to the next one), so
+    a long chain is not one task's work and no line is read twice.
     Lines without a seq are accepted and counted.
     """
-    checked = check_lines(lines, key)
-    before = checked.select("chain", (F.col("pos") + 1).alias("pos"), F.col("line_hash").alias("tip"))
-    met = checked.join(before, ["chain", "pos"], "left")
+    facts = F.struct("ok_json", "seq", "prev_hash", "entry_ok", "sig_ok")
+    own = F.struct(F.col("pos"), facts.alias("line"), F.lit(None).cast("string").alias("tip"))
+    sent = F.struct((F.col("pos") + 1).alias("pos"), F.when(F.lit(False), facts).alias("line"), F.col("line_hash").alias("tip"))
+    both = check_lines(lines, key).select("chain", F.explode(F.array(own, sent)).alias("e")).select("chain", "e.*")
+    met = both.groupBy("chain", "pos").agg(F.max("line").alias("line"), F.max("tip").alias("tip")).where("line IS NOT NULL").select("chain", "pos", "line.*", "tip")
     expected = F.col("pos")
     legacy = F.col("seq").isNull()
     error = (
@@ -224,6 +232,11 @@ def verify_chain(lines: DataFrame, key: bytes | None = None) -> DataFrame:
     )
 
 
+def append(lines: DataFrame, records: DataFrame, key: bytes, chain_col: str, order_col: str, json_col: str) -> DataFrame:
+    """New lines for the records, behind those of the stored chains; chains that are not stored begin."""
+    return build_chain(records, key, chain_col, order_col, json_col, chain_tip(check_lines(lines)))
+
+
 def chain_tip(checked: DataFrame) -> DataFrame:
     """The last line's position and hash per chain, to append behind."""
     return checked.groupBy("chain").agg(F.max("pos").alias("seq"), F.max_by("line_hash", "pos").alias("tip"))
