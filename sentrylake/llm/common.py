@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -48,29 +50,70 @@ def materialise(df: DataFrame, tag: str, codec: str = "zstd", partition_by: str
     return back
 
 
+def split_off(df: DataFrame, column: str, value: int) -> DataFrame:
+    """The part of a table written with ``partition_by`` that holds one value, as a table that can be discarded alone."""
+    fields = [f for f in df.schema.fields if f.name != column]
+    path = f"{df._shared_path}/{column}={value}"
+    where, files = _file_system(df.sparkSession, path)
+    kind = T.StructType(fields)
+    rows = df.sparkSession.read.schema(kind).parquet(path) if files.exists(where) else df.sparkSession.createDataFrame([], kind)
+    part = rows.withColumn(column, F.lit(value))
+    part._shared_path = path
+    return part
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``materialise`` wrote, once nothing reads them any more.
 
-    The driver's garbage is collected as well: Spark drops the shuffle files of
-    plans that nobody holds only then.
+    The garbage of the driver and its Python is collected as well: Spark drops
+    the shuffle files of plans that nobody holds only then.
     """
+    gc.collect()
     for df in tables:
         path = getattr(df, "_shared_path", None)
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+            where, files = _file_system(df.sparkSession, path)
+            files.delete(where, True)
+    session = SparkSession.getActiveSession()
+    if session:
+        session.sparkContext._jvm.System.gc()
 
 
 def row_key() -> Column:
-    """A key per input row: stable as long as the input is a table scan."""
+    """A key per input row: the same whenever it is computed, as long as the input is ``scanned``."""
     return F.monotonically_increasing_id()
 
 
+def scanned(df: DataFrame) -> DataFrame:
+    """The rows as a table scan with at most projections and filters above it, whose row keys are stable; others are written first."""
+    nodes = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    names = {re.sub(r"^[\s:+\-!]*", "", line).split(" ")[0].split("(")[0] for line in nodes if line.strip()}
+    return df if names <= {"Relation", "Project", "Filter"} else materialise(df, "scanned")
+
+
+#: Who remembers things in this Python worker, and what.
+_HOLDER: dict = {"owner": None, "caches": ()}
+
+
+def hold(owner: str, *caches) -> None:
+    """Called as a task starts: an operator's caches stay from task to task, and go when another one's task begins.
+
+    Workers are used again by all stages, so without this each operator's
+    memory would come on top of those before.
+    """
+    if _HOLDER["owner"] != owner:
+        release(*_HOLDER["caches"])
+        _HOLDER["owner"] = owner
+    _HOLDER["caches"] = caches
+
+
 def release(*caches) -> None:
-    """Empties a worker's caches at the end of a task and hands the memory back, since workers are used again."""
+    """Empties caches and hands the memory back."""
     for x in caches:
         x.clear()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -99,13 +142,13 @@ def extend(
     fn: Callable[[list[str]], dict[str, Iterable]],
     fields: list[T.StructField],
     keep: list[str] | None = None,
-    end: Callable[[], None] | None = None,
+    caches: Callable[[], tuple] | None = None,
 ) -> DataFrame:
     """Adds columns computed from whole texts, batch by batch, without a shuffle.
 
     ``keep`` names the input columns to return (all by default). An input
-    column whose name equals a new one's (ignoring case) is replaced. ``end`` is
-    called at the end of each task, to free what ``fn`` has remembered.
+    column whose name equals a new one's (ignoring case) is replaced. ``caches``
+    names what ``fn`` remembers in a worker.
     """
     new = {f.name.lower() for f in fields}
     wanted = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
@@ -115,14 +158,11 @@ def extend(
     schema = T.StructType([*source.schema.fields[:n_kept], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for batch in batches:
-                made = fn(texts_of(batch, at))
-                arrays = [*batch.columns[:n_kept], *(pa.array(made[f.name], type=t) for f, t in zip(fields, types))]
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
-        finally:
-            if end:
-                end()
+        hold(fn.__module__, *(caches() if caches else ()))
+        for batch in batches:
+            made = fn(texts_of(batch, at))
+            arrays = [*batch.columns[:n_kept], *(pa.array(made[f.name], type=t) for f, t in zip(fields, types))]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return source.mapInArrow(run, schema)
 

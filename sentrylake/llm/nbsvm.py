@@ -26,13 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extend, labelled_sample, release
+from .common import extend, labelled_sample
 
 WORD_BITS, SHAPE_BITS = 18, 14
 SIZE = (1 << WORD_BITS) + (1 << SHAPE_BITS)
 #: Labelled rows the fit may use, passes of the descent, its penalty, smoothing and mixing.
 BOUND, PASSES, PENALTY, SMOOTH, MIX = 16_000, 12, 1.0, 1.0, 0.5
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 #: Signs of a shape n-gram.
 PIECE = 12
 
@@ -89,8 +89,8 @@ class PieceHashes(dict):
 _HASHES, _PIECES = WordHashes(), PieceHashes()
 
 
-def forget() -> None:
-    release(_HASHES, _PIECES)
+def caches() -> tuple:
+    return _HASHES, _PIECES
 
 
 def features(text: str) -> np.ndarray:
@@ -213,7 +213,7 @@ def train(
         lambda texts: {"found": [features(x).tobytes() for x in texts]},
         [T.StructField("found", T.BinaryType())],
         ["doc_id", "y"],
-        forget,
+        caches,
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,4 +236,4 @@ def score(df: DataFrame, model: Model, cut: float = 0.3, text_col: str = "text",
         return {"score": scores, "predicted": [int(s >= cut) for s in scores]}
 
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return extend(df, text_col, run, fields, keep, forget)
+    return extend(df, text_col, run, fields, keep, caches)

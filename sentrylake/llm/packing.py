@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release, row_key
+from .common import hold, materialise, row_key
 
 DIMS, BITS = 3, 10
 #: Ids per range; distinct whitespace-separated words remembered per worker; words sent to the tokenizer at once.
-RANGE_IDS, REMEMBERED, AT_ONCE = 4_000_000, 300_000, 4096
+RANGE_IDS, REMEMBERED, AT_ONCE = 4_000_000, 700_000, 4096
 #: Most ranges (beyond that they grow and Spark's sort spills), and ids that count as one in cutting them.
 MOST_RANGES, SHARE = 1 << 14, 512
 #: Stretch of the projected mean before it is squashed into the grid.
@@ -198,12 +198,10 @@ def tokens_table(df: DataFrame, path: str, id_col: str, text_col: str, end_id: i
     shift = 63 - DIMS * BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for batch in batches:
-                yield from coded(batch)
-        finally:
-            known = word_tokens(path)
-            release(known, known.parts)
+        known = word_tokens(path)
+        hold(__name__, known, known.parts)
+        for batch in batches:
+            yield from coded(batch)
 
     def coded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for low in range(0, batch.num_rows, 2000):

@@ -28,11 +28,11 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import extend, release
+from .common import extend
 
 MARK = "▁"
 #: Cached words, and the longest that is cached.
-CACHE, SHORT = 300_000, 64
+CACHE, SHORT = 600_000, 64
 #: Characters of text whose words are held at once.
 BLOCK = 4_000_000
 
@@ -220,8 +220,8 @@ def decode(m: BpeModel, ids: Iterable[int]) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def forget(path: str) -> None:
-    release(model(path).words, model(path).follows)
+def caches(path: str) -> tuple:
+    return model(path).words, model(path).follows
 
 
 def encode_column(df: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -231,7 +231,7 @@ def encode_column(df: DataFrame, model_path: str, text_col: str = "text", keep:
         m = model(model_path)
         return {"ids": [array("I", x).tolist() for x in encode_all(m, texts)]}
 
-    return extend(df, text_col, run, [T.StructField("ids", T.ArrayType(T.IntegerType(), False))], keep, lambda: forget(model_path))
+    return extend(df, text_col, run, [T.StructField("ids", T.ArrayType(T.IntegerType(), False))], keep, lambda: caches(model_path))
 
 
 def digest_column(df: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -250,4 +250,4 @@ def digest_column(df: DataFrame, model_path: str, text_col: str = "text", keep:
         T.StructField("ids_crc32", T.LongType()),
         T.StructField("round_trip", T.BooleanType()),
     ]
-    return extend(df, text_col, run, fields, keep, lambda: forget(model_path))
+    return extend(df, text_col, run, fields, keep, lambda: caches(model_path))

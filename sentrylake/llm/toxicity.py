@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extend, labelled_sample, release
+from .common import extend, labelled_sample
 
 #: Labelled rows the fit may use; the prior's strength as a share of the counts; least z and log-odds of a
 #: scored token.
@@ -38,7 +38,7 @@ COST = 0.12
 #: Greatest E-value of a significant segment.
 SIGNIFICANT = 0.01
 #: Lengths of stems; tokens whose best form a worker remembers.
-STEMS, REMEMBERED = (5, 7), 300_000
+STEMS, REMEMBERED = (5, 7), 700_000
 WORD = re.compile(r"\w+")
 
 
@@ -247,7 +247,7 @@ def score(df: DataFrame, model: Model, cut: float = 0.3, text_col: str = "text",
         return {"score": scores, "predicted": [int(s >= cut) for s in scores]}
 
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return extend(df, text_col, run, fields, keep, lambda: release(shared.value.scores.of))
+    return extend(df, text_col, run, fields, keep, lambda: (shared.value.scores.of,))
 
 
 def passages(df: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -276,4 +276,4 @@ def passages(df: DataFrame, model: Model, text_col: str = "text", keep: list[str
             )
         return {"passages": out}
 
-    return extend(df, text_col, run, [T.StructField("passages", T.ArrayType(kind))], keep, lambda: release(shared.value.scores.of))
+    return extend(df, text_col, run, [T.StructField("passages", T.ArrayType(kind))], keep, lambda: (shared.value.scores.of,))
