@@ -1,9 +1,9 @@
 """Exact duplicates through Patricia-trie owners.
 
 Texts are dealt by length and content hash. Each map task first inserts its
-full byte strings into compressed radix tries whose terminal nodes hold the
-owner so far; a trie beyond its memory budget spills its largest subtree as
-finished terminals. Only those terminals are shuffled, so a group of copies
+full byte strings into compressed radix tries, one per length, whose terminal
+nodes hold the owner so far; beyond the memory budget the largest trie spills
+its largest subtree as finished terminals. Only those terminals are shuffled, so a group of copies
 costs one row per map task however large it is. Reduce tasks insert the byte
 strings of a (length, hash) run into a trie again and emit final owners.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fold_case, materialise, row_key
+from .common import discard, fold_case, hold, materialise, row_key, scanned
 
 #: Bytes of text a map-side trie may hold before it spills a subtree.
 TRIE_BYTES = 64 << 20
@@ -133,14 +133,28 @@ def _content_hash(body: bytes) -> int:
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trie = PatriciaTrie()
+    hold(__name__)
+    tries: dict[int, PatriciaTrie] = {}  # by length: none of a trie's keys begins another
+    held = 0
     for batch in batches:
         ids, bodies = batch.column(0).to_pylist(), batch.column(1)
         for doc_id, body in zip(ids, bodies):
-            trie.insert(body.as_py(), doc_id)
-            if trie.size > TRIE_BYTES:
-                yield from _rows(trie.spill())
-    yield from _rows(trie.terminals())
+            key = body.as_py()
+            trie = tries.get(len(key))
+            if trie is None:
+                trie = tries[len(key)] = PatriciaTrie()
+            held -= trie.size
+            trie.insert(key, doc_id)
+            held += trie.size
+            while held > TRIE_BYTES:
+                length, largest = max(tries.items(), key=lambda x: x[1].size)
+                held -= largest.size
+                yield from _rows(largest.spill())
+                held += largest.size
+                if not largest.size:
+                    del tries[length]
+    for trie in tries.values():
+        yield from _rows(trie.terminals())
 
 
 def _rows(found: Iterator[tuple[bytes, list]]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +178,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Input is sorted by (n_bytes, key), so one run's trie is alive at a time."""
+    hold(__name__)
     trie, run, out = PatriciaTrie(), None, []
 
     def flush():
@@ -246,7 +261,8 @@ def assign(
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns without the copies; ``df`` must be a table scan."""
+    """The input's rows and columns without the copies."""
+    df = scanned(df)
     tables: list[DataFrame] = []
     assigned = assign(df, id_col, text_col, tables)
     dropped = materialise(assigned.where(~F.col("kept")).select(F.col("row").alias("__row")), "trie-dropped")
