@@ -29,6 +29,11 @@ def key_id(pem: str) -> str:
     return hashlib.sha256(pem.encode()).hexdigest()[:16]
 
 
+def issued_format(value, ending: str) -> bool:
+    """Whether a format is an issuer's name with the given ending."""
+    return isinstance(value, str) and value.endswith(ending) and value.removesuffix(ending).isalnum()
+
+
 def rotations_digest(rotations: Iterable) -> str:
     """Commitment to the handovers' ids, whole records and signatures, in any order."""
     rows = []
@@ -82,7 +87,7 @@ HANDOVER_CHECKS: list[tuple[str, Callable[[Handover], bool]]] = [
     ("row", lambda h: not isinstance(h.row, dict)),
     ("row_fields", lambda h: bool(h.extra_row)),
     ("record", lambda h: not isinstance(h.row.get("record"), dict)),
-    ("format", lambda h: h.record.get("format") != V.HANDOVER_FORMAT),
+    ("format", lambda h: not issued_format(h.record.get("format"), V.HANDOVER_FORMAT)),
     ("fields", lambda h: bool(h.extra)),
     ("unnamed", lambda h: not h.named()),
     ("own_successor", lambda h: h.ids[0] == h.ids[1]),

@@ -13,7 +13,7 @@ from tests.test_operators import bundle
 PEMS = ["-----BEGIN PUBLIC KEY-----\nold\n-----END PUBLIC KEY-----\n", "-----BEGIN PUBLIC KEY-----\nnew\n-----END PUBLIC KEY-----\n"]
 OLD, NEW = map(custody.key_id, PEMS)
 RECORD = {
-    "format": V.HANDOVER_FORMAT, "retiring_key_id": OLD, "successor_key_id": NEW, "retiring_public_key_pem": PEMS[0],
+    "format": "issuer" + V.HANDOVER_FORMAT, "retiring_key_id": OLD, "successor_key_id": NEW, "retiring_public_key_pem": PEMS[0],
     "successor_public_key_pem": PEMS[1], "install_id": "i", "rotated_at": "t", "reason": "r",
 }
 ROW = {"retiring_key_id": OLD, "successor_key_id": NEW, "record": RECORD, "retiring_sig": "a", "successor_sig": "b"}
