@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, release, row_key
+from .common import discard, hold, materialise, release, row_key, split_off
 
 END = b"\n"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -55,7 +55,7 @@ K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 #: The hash that stands before a text's first token.
 START = np.uint64(0xA0761D6478BD642F)
 #: Characters of a unit and of a block that is scored at once; bytes of text per page.
-UNIT, BLOCK, PAGE_TEXT = 10_000_000, 2_000_000, 8 << 20
+UNIT, BLOCK, PAGE_TEXT = 6_000_000, 2_000_000, 8 << 20
 
 # --- units and pages ---------------------------------------------------------------------------------
 
@@ -182,6 +182,7 @@ def unit_rows(texts: list[str], rows: list, doc_ids: list, trained: list[bool],
 
 def _units(page_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(__name__)
         held: list[list] = [[], [], [], []]
         size = 0
         for batch in batches:
@@ -689,17 +690,21 @@ def learn(df: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str
     source = df.select(row_key().alias("row"), F.col(id_col).cast("long").alias("doc_id"), trained.alias("trained"), F.col(text_col).alias("text"))
     units = materialise(source.mapInArrow(_units(page_bits), UNITS), "mixing-units", partition_by="kind")
     columns = _NAMES
+    texts = split_off(units, "kind", TEXTS)
     keys = units.where(f"kind <> {TEXTS}").select(*columns)
-    sums = keys.repartition("kind", "page").sortWithinPartitions("kind", "page").mapInArrow(_sum_pages, UNITS)
-    sums = materialise(sums, "mixing-sums")
+    dealt = keys.repartition("kind", "page").sortWithinPartitions("kind", "page")
+    sums = materialise(dealt.mapInArrow(_sum_pages, UNITS), "mixing-sums")
+    # From here on the keys and their shuffle only take room.
+    del keys, dealt
+    discard(*(split_off(units, "kind", k) for k in (TOKENS, PAIRS)))
     facts = {TOKENS: np.zeros(3, np.int64)}
     for r in sums.where(f"kind = {-TOKENS}").groupBy("page").agg(F.first("data").alias("data")).select("data").toLocalIterator():
         facts[TOKENS] += np.frombuffer(r["data"], np.int64)  # three numbers a page
     distinct, total, _ = facts[TOKENS].tolist()
-    texts = units.where(f"kind = {TEXTS}").select(*columns)
-    back = texts.unionByName(sums.where("kind > 0").select(*columns)).select("unit", "kind", "data", "page")
+    back = texts.select(*columns).unionByName(sums.where("kind > 0").select(*columns)).select("unit", "kind", "data", "page")
     dealt = back.repartition("unit").sortWithinPartitions("unit", "kind", "page")
     assembled = materialise(dealt.mapInArrow(_assemble(page_bits, total), ASSEMBLED), "mixing-documents", partition_by="kind")
+    del back, dealt
     discard(units, sums)
     model = Model(total, distinct)
 
