@@ -36,15 +36,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, release, row_key
+from .common import discard, hold, materialise, row_key, scanned
 
 #: Width of a size band, least shingles a signature should stand on, sketch words of 64 bits, rows of a compared block.
 BAND, ELEMENTS, SKETCH, BLOCK = 1.25, 3.2, 8, 512
-#: Most bits of a class's long sketch; rows and pairs that a comparing task handles at once.
-LONG_SKETCH, ROWS_AT_ONCE, PAIRS_AT_ONCE = 1 << 17, 50_000, 250_000
+#: Most bits of a class's long sketch; rows and pairs that a comparing task handles at once, and bytes of sketches.
+LONG_SKETCH, ROWS_AT_ONCE, PAIRS_AT_ONCE, BYTES_AT_ONCE = 1 << 17, 20_000, 250_000, 32 << 20
 #: Rounds in which each class is proposed with its nearest one, before all remaining pairs are.
-ROUNDS = 3
-REMEMBERED = 300_000
+ROUNDS = 2
+REMEMBERED = 500_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -161,24 +161,26 @@ def signatures(found: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def parities(found: np.ndarray) -> np.ndarray:
-    """Parities of the set's shingles by hash, about one bit a shingle: differing bits never outnumber differing shingles."""
-    bits = min(max(SKETCH * 64, 1 << (len(found) - 1).bit_length()), LONG_SKETCH)
-    at = (found * K[3]) >> np.uint64(65 - bits.bit_length())
-    return (np.bincount(at.astype(np.intp), minlength=bits) & 1).astype(np.uint8)
+def long_sketch(found: np.ndarray) -> np.ndarray:
+    """Parities of the set's shingles by hash, packed, a bit for one to two shingles of a large set.
 
-
-def folded(odd: np.ndarray, bits: int) -> np.ndarray:
-    """The parities over fewer bits: those of neighbouring ones added."""
-    return odd if len(odd) == bits else odd.reshape(bits, -1).sum(axis=1, dtype=np.uint8) & 1
+    Differing bits never outnumber differing shingles. Unlinked sets differ in
+    about half the bits, which is more than linked sets of the size may.
+    """
+    bits = min(max(SKETCH * 64, 1 << (len(found) // 2).bit_length()), LONG_SKETCH)
+    at = ((found * K[3]) >> np.uint64(20)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(at.astype(np.intp), minlength=bits) & 1).astype(np.uint8), bitorder="little")
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
-    """The parities as words of 64 bits, as many for every set."""
-    return np.packbits(folded(parities(found), SKETCH * 64)).view(np.int64)
+    """The parities as words of 64 bits, as many for every set: halves are folded until they are so few."""
+    odd = long_sketch(found)
+    while len(odd) > SKETCH * 8:
+        odd = odd[: len(odd) // 2] ^ odd[len(odd) // 2 :]
+    return odd.view(np.int64)
 
 
-SETS = "row long, doc_id long, n long, key long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", signs array<long>"
+SETS = "row long, doc_id long, n long, key long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", odd binary, signs array<long>"
 
 
 def sets_table(df: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -187,26 +189,26 @@ def sets_table(df: DataFrame, words: int, percent: int, id_col: str, text_col: s
     names = [c.strip().split()[0] for c in SETS.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(__name__, _HASHES)
         seen: set[int] = set()
-        try:
-            for batch in batches:
-                yield described(batch, seen)
-        finally:
-            release(_HASHES)
+        for batch in batches:
+            yield described(batch, seen)
 
     def described(batch: pa.RecordBatch, seen: set[int]) -> pa.RecordBatch:
-        n, keys, sketches, signs = [], [], [], []
+        n, keys, sketches, odd, signs = [], [], [], [], []
         for text in batch.column(2).to_pylist():
             found = shingles(text or "", words)
             n.append(len(found))
             if not len(found):
                 keys.append(None)
                 sketches.append(np.zeros(SKETCH, np.int64))
+                odd.append(None)
                 signs.append([])
                 continue
             key = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
             keys.append(key)
             sketches.append(sketch(found))
+            odd.append(long_sketch(found).tobytes())
             if key in seen:
                 signs.append([])
             else:
@@ -221,6 +223,7 @@ def sets_table(df: DataFrame, words: int, percent: int, id_col: str, text_col: s
                 pa.array(n, pa.int64()),
                 pa.array(keys, pa.int64()),
                 *(pa.array(s[:, i], pa.int64()) for i in range(SKETCH)),
+                pa.array(odd, pa.binary()),
                 pa.array(signs, pa.list_(pa.int64())),
             ],
             names=names,
@@ -312,23 +315,66 @@ def _partners(by: list[np.ndarray], same_block: np.ndarray, side: np.ndarray) ->
         at = to
 
 
+class Sketches:
+    """Rows' long sketches, folded to every width that some row has."""
+
+    def __init__(self, odd: np.ndarray):
+        self.widths = np.fromiter(map(len, odd), dtype=np.int64, count=len(odd))
+        held: dict[int, list] = {}
+        for width in sorted(set(self.widths.tolist()), reverse=True):
+            rows = np.flatnonzero(self.widths == width)
+            folded = np.frombuffer(b"".join(odd[rows]), np.uint8).reshape(len(rows), width).view(np.uint64)
+            while True:
+                held.setdefault(width, []).append((rows, folded))
+                if width == SKETCH * 8:
+                    break
+                width //= 2
+                folded = folded[:, : width // 8] ^ folded[:, width // 8 :]
+        self.by_width = {}
+        for width, parts in held.items():
+            place = np.full(len(odd), -1, np.int64)
+            place[np.concatenate([r for r, _ in parts])] = np.arange(sum(len(r) for r, _ in parts))
+            self.by_width[width] = place, np.concatenate([m for _, m in parts])
+
+    def apart(self, x: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
+        place, words = self.by_width[width]
+        out = np.empty(len(x), np.int64)
+        step = max(1, BYTES_AT_ONCE // width)
+        for low in range(0, len(x), step):
+            some = slice(low, low + step)
+            out[some] = np.bitwise_count(words[place[x[some]]] ^ words[place[y[some]]]).sum(axis=1)
+        return out
+
+    def near(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pairs whose sketches differ by no more than ``most``, and by how much: first the short ones."""
+        apart = self.apart(x, y, SKETCH * 8)
+        left = np.flatnonzero(apart <= most)
+        width = np.minimum(self.widths[x[left]], self.widths[y[left]])
+        ok = np.ones(len(left), bool)
+        for w in set(width.tolist()) - {SKETCH * 8}:
+            some = np.flatnonzero(width == w)
+            pairs = left[some]
+            apart[pairs] = self.apart(x[pairs], y[pairs], w)
+            ok[some] = apart[pairs] <= most[pairs]
+        return left[ok], apart[left[ok]]
+
+
 def _compare(percent: int, nearest: bool):
     """Pairs across components of block pairs that sizes and sketches allow, all or each member's nearest.
 
-    Columns: sign, i, j, side (0: of block i, 1: of block j), key, part, n, sketch words.
+    Columns: sign, i, j, side (0: of block i, 1: of block j), key, part, n, odd.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _whole_groups(batches, 3, ROWS_AT_ONCE):
-            sign, i, j, side, key, part, n, *s = columns
-            bits = np.stack(s, axis=1).view(np.uint64)
+            sign, i, j, side, key, part, n, odd = columns
+            sketches = Sketches(odd)
             for x, y in _partners([sign, i, j], i == j, side):
                 most = (n[x] + n[y]) * (100 - percent) // (100 + percent)
                 open_ = (part[x] != part[y]) & (np.abs(n[x] - n[y]) <= most)
                 x, y, most = x[open_], y[open_], most[open_]
-                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1).astype(np.int64)
-                near = apart <= most
-                x, y, apart = x[near], y[near], apart[near]
+                near, apart = sketches.near(x, y, most)
+                x, y = x[near], y[near]
                 if nearest and len(x):
                     order = np.lexsort((apart, x))
                     x, y, apart = x[order], y[order], apart[order]
@@ -344,33 +390,23 @@ def _compare(percent: int, nearest: bool):
     return run
 
 
-HASHES = "key long, n long, odd binary, hashes binary"
+HASHES = "key long, hashes binary"
 
 
 def _hashed(words: int):
-    """key and text -> the class's size, long sketch and sorted shingle hashes."""
+    """key and text -> the class's sorted shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            for batch in batches:
-                sets = [shingles(text.as_py(), words) for text in batch.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array(list(map(len, sets)), pa.int64()),
-                        pa.array([np.packbits(parities(x)).tobytes() for x in sets], pa.binary()),
-                        pa.array([x.tobytes() for x in sets], pa.binary()),
-                    ],
-                    names=["key", "n", "odd", "hashes"],
-                )
-        finally:
-            release(_HASHES)
+        hold(__name__, _HASHES)
+        for batch in batches:
+            sets = [shingles(text.as_py(), words).tobytes() for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["key", "hashes"])
 
     return run
 
 
 def _chosen(test):
-    """Those pairs (key, pivot) whose two data columns pass the test."""
+    """Those pairs (key, pivot) whose two sets pass the test."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -383,17 +419,6 @@ def _chosen(test):
     return run
 
 
-def _allowed(percent: int):
-    def test(a: dict, b: dict) -> bool:
-        """Whether the long sketches allow a link, both folded to the shorter one's bits."""
-        x, y = (np.unpackbits(np.frombuffer(v["odd"], np.uint8)) for v in (a, b))
-        bits = min(len(x), len(y))
-        apart = np.count_nonzero(folded(x, bits) != folded(y, bits))
-        return apart <= (a["n"] + b["n"]) * (100 - percent) // (100 + percent)
-
-    return test
-
-
 def _linked(percent: int):
     def test(a: bytes, b: bytes) -> bool:
         x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -441,7 +466,7 @@ def near_duplicates(
     ``words``-word shingles (the whole sequence where there are fewer words).
     The shared-folder tables the result reads are added to ``tables``.
     """
-    spark = df.sparkSession
+    df = scanned(df)
     sketch_columns = [f"s{i}" for i in range(SKETCH)]
     sets = materialise(sets_table(df, words, percent, id_col, text_col), "partenum-sets")
     signs = sets.where(F.size("signs") > 0).select(F.explode("signs").alias("sign"), "key")
@@ -456,7 +481,7 @@ def near_duplicates(
         F.count(F.lit(1)).alias("class_rows"),
         F.min("row").alias("first_row"),
         F.first("n").alias("n"),
-        *(F.first(s).alias(s) for s in sketch_columns),
+        *(F.first(s).alias(s) for s in [*sketch_columns, "odd"]),
     )
     members = materialise(members, "partenum-classes")
     info = F.struct("n", *sketch_columns)
@@ -473,17 +498,10 @@ def near_duplicates(
         wanted = close.select("key").union(close.select("pivot")).distinct()
         rows = members.join(wanted, "key", "left_semi").select("key", "first_row")
         held = materialise(texts.join(rows, "first_row").select("key", "text").mapInArrow(_hashed(words), HASHES), "partenum-sets", "lz4")
-        both = lambda of, a, b: (
-            of.join(held.select(F.col("key").alias("pivot"), b.alias("other")), "pivot")
-            .join(held.select("key", a.alias("own")), "key")
-            .select("key", "pivot", "own", "other")
-        )
-        odd = F.struct("n", "odd")
-        closer = materialise(both(close, odd, odd).mapInArrow(_chosen(_allowed(percent)), "a long, b long"), "partenum-closer")
-        left = closer.select(F.col("a").alias("key"), F.col("b").alias("pivot"))
-        hashes = F.col("hashes")
-        found = materialise(both(left, hashes, hashes).mapInArrow(_chosen(_linked(percent)), "a long, b long"), "partenum-links")
-        discard(*([] if compared else [close]), held, closer)
+        other = held.select(F.col("key").alias("pivot"), F.col("hashes").alias("other"))
+        both = close.select("key", "pivot").join(other, "pivot").join(held, "key").select("key", "pivot", "hashes", "other")
+        found = materialise(both.mapInArrow(_chosen(_linked(percent)), "a long, b long"), "partenum-links")
+        discard(*([] if compared else [close]), held)
         return found
 
     # One proposal per class: with one smallest member in most of its buckets, a group of copies becomes a star.
@@ -506,7 +524,7 @@ def near_duplicates(
         """Untested pairs across components within buckets that still hold several."""
         rows = mixed.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
         rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        rows = rows.join(members.select("key", "n", *sketch_columns), "key")
+        rows = rows.join(members.select("key", "n", "odd"), "key")
         partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("partner")
         rows = rows.select("*", partner).select(
             "sign",
@@ -516,7 +534,7 @@ def near_duplicates(
             "key",
             "part",
             "n",
-            *sketch_columns,
+            "odd",
         )
         dealt = rows.repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j", "side")
         found = dealt.mapInArrow(_compare(percent, nearest), "key long, pivot long, by long, apart long")
@@ -586,7 +604,8 @@ def near_duplicates(
 
 
 def keep_one(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns, one row per component (the smallest id, then row); ``df`` must be a table scan."""
+    """The input's rows and columns, one row per component (the smallest id, then row)."""
+    df = scanned(df)
     tables: list[DataFrame] = []
     found = near_duplicates(df, words, percent, id_col, text_col, tables)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
