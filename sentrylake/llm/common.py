@@ -6,6 +6,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -80,8 +81,10 @@ def discard(*tables: DataFrame) -> None:
             where, files = _file_system(df.sparkSession, path)
             files.delete(where, True)
     session = SparkSession.getActiveSession()
-    if session:
+    for pause in (0.2, 0.0) if session else ():
+        # Python lets go of its plans a moment after it has collected them, and Spark sees that one collection later.
         session.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def row_key() -> Column:

@@ -5,7 +5,8 @@ the occurrences of their own pre-tokens, equal ones meet, and each is encoded
 once. The counts are joined to per-document pre-token frequencies and summed;
 ids are never kept. Pre-tokens that make at least one occurrence in 2^HOT are
 at most 2^HOT and are broadcast, so no key of the shuffled join is hot: the
-rest are joined by pre-token.
+rest are joined by a 64-bit hash. Pre-tokens that share one with another, if
+there are any, are broadcast as well, so the join is exact.
 
 For a model with word marks no piece crosses from a visible character to a
 mark, so the words that start with marks are its pre-tokens.
@@ -23,17 +24,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extend, materialise, release, row_key
+from .common import discard, extend, hold, materialise, row_key
 
 MARK = "▁"
 #: A pre-token: the word with the marks before it. A line break is in no piece and cuts words further.
 PRE_TOKEN = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Characters of text handled at once, distinct pre-tokens a task holds before it passes them on, rank of a broadcast share.
-BLOCK, HELD, HOT = 2_000_000, 400_000, 18
+BLOCK, HELD, HOT = 2_000_000, 400_000, 20
 
 
 @functools.lru_cache(maxsize=2)
@@ -82,6 +84,7 @@ def blocks(column: pa.Array) -> Iterator[list[str]]:
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text -> pre_token, n: a task's own counts, passed on whenever it holds many."""
+    hold(__name__)
     counts: dict[str, int] = {}
 
     def made() -> pa.RecordBatch:
@@ -98,7 +101,6 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(counts) > HELD:
                 yield made()
     yield made()
-    release()
 
 
 def pre_token_pieces(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
@@ -117,15 +119,22 @@ def token_counts(
 ) -> DataFrame:
     """Adds n_bytes, n_tokens and over_limit."""
     new = ["n_bytes", "n_tokens", "over_limit"]
-    pieces = materialise(pre_token_pieces(df, model_path, text_col), "counts-pre-tokens")
+    keyed = pre_token_pieces(df, model_path, text_col).withColumn("key", F.xxhash64("pre_token"))
+    pieces = materialise(keyed, "counts-pre-tokens")
+    del keyed
+    discard()  # the counts' shuffle only takes room from here on
     total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     share = total >> HOT
-    hot = {r["pre_token"]: r["pieces"] for r in pieces.where(F.col("n") > share).select("pre_token", "pieces").toLocalIterator()}
+    # Hashes of several pre-tokens: hardly ever any, and no more than pairs over 2^64.
+    twice = [r["key"] for r in pieces.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").toLocalIterator()]
+    discard()
+    common = (F.col("n") > share) | F.col("key").isin(twice)
+    hot = {r["pre_token"]: r["pieces"] for r in pieces.where(common).select("pre_token", "pieces").toLocalIterator()}
     shared = df.sparkSession.sparkContext.broadcast(hot)
     wanted = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(wanted)]
     source = df.select(row_key().alias("row"), *kept, F.col(text_col).alias("text"))
-    rest = T.ArrayType(T.StructType([T.StructField("pre_token", T.StringType()), T.StructField("n", T.LongType())]))
+    rest = T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType())]))
     schema = T.StructType(
         [*source.schema.fields[:-1], T.StructField("n_bytes", T.LongType()), T.StructField("hot", T.LongType()), T.StructField("rest", rest)]
     )
@@ -144,7 +153,8 @@ def token_counts(
                 cold = each < 0
                 pair, times = np.unique(doc[cold] * max(len(words), 1) + flat[cold], return_counts=True)
                 cuts = np.searchsorted(pair, np.arange(len(texts) + 1) * max(len(words), 1)).astype(np.int32)
-                names = pa.array(words, pa.string()).take(pa.array(pair % max(len(words), 1)))
+                tail = (xxhash.xxh64_intdigest(w, seed=42) if k < 0 else 0 for w, k in zip(words, known))
+                keys = np.fromiter(tail, dtype=np.uint64, count=len(words)).view(np.int64)[pair % max(len(words), 1)]
                 part = batch.slice(low, len(texts))
                 low += len(texts)
                 yield pa.RecordBatch.from_arrays(
@@ -153,16 +163,17 @@ def token_counts(
                         pa.array([len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass")) for x in texts], pa.int64()),
                         pa.array(np.diff(running[ends])),
                         pa.ListArray.from_arrays(
-                            pa.array(cuts), pa.StructArray.from_arrays([names, pa.array(times, pa.int64())], names=["pre_token", "n"])
+                            pa.array(cuts), pa.StructArray.from_arrays([pa.array(keys), pa.array(times, pa.int32())], names=["key", "n"])
                         ),
                     ],
                     names=schema.names,
                 )
 
     documents = materialise(source.mapInArrow(run, schema), "counts-documents")
-    frequencies = documents.select("row", F.explode("rest").alias("e")).select("row", "e.pre_token", "e.n")
-    rare = pieces.where(F.col("n") <= share).select("pre_token", "pieces")
-    sums = frequencies.join(rare.hint("shuffle_hash"), "pre_token").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("cold"))
+    discard()
+    frequencies = documents.select("row", F.explode("rest").alias("e")).select("row", "e.key", "e.n")
+    rare = pieces.where(~common).select("key", "pieces")
+    sums = frequencies.join(rare.hint("shuffle_hash"), "key").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("cold"))
     whole = documents.drop("rest").join(sums, "row", "left").withColumn("n_tokens", F.col("hot") + F.coalesce("cold", F.lit(0)))
     return whole.select(
         *(F.col(f"k{i}").alias(c) for i, c in enumerate(wanted)), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
