@@ -53,7 +53,7 @@ def texts(seed):
     return out + ["", None, " \n ", "one", "ONE", "one two", "one two", "a b c", "A b\tc"]
 
 
-@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80)])
+@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80), (3, 60)])
 def test_components_match_brute_force(spark, size, percent):
     rows = [(i * 7 % 1009, t) for i, t in enumerate(texts(5))] + [(None, "lonely words here now"), (3, None)]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string")
@@ -80,7 +80,7 @@ def test_empty_table_and_keep_one(spark, tmp_path):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(9, 300), st.integers(0, 60), st.integers(0, 60), st.sampled_from([80, 90]), st.integers(0, 2**31))
+@given(st.integers(9, 300), st.integers(0, 60), st.integers(0, 60), st.sampled_from([50, 65, 80, 90]), st.integers(0, 2**31))
 def test_linked_sets_share_a_signature(common, only_a, only_b, percent, seed):
     rng = np.random.default_rng(seed)
     pool = np.unique(rng.integers(0, 2**63, common + only_a + only_b).astype(np.uint64))
