@@ -9,6 +9,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,16 +36,32 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def materialise(df: DataFrame, tag: str, codec: str = "zstd", partition_by: str | None = None) -> DataFrame:
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None):
+    """Python tasks that start within get so many rows at once at most: where rows are large, Spark's own
+    number of rows is hundreds of MB, which the executor and its Python worker both hold."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def materialise(df: DataFrame, tag: str, codec: str = "zstd", partition_by: str | None = None, batch: int | None = None) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
     This cuts the lineage: a lost executor costs only the tasks that read the
     table, and Python stages are not run a second time by later readers.
+    ``batch``: rows that a Python task of it gets at once at most.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", codec)
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    with batches_of(spark, batch):
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     fields = [f for f in df.schema.fields if f.name != partition_by] + [f for f in df.schema.fields if f.name == partition_by]
     back = spark.read.schema(T.StructType(fields)).parquet(path)
     back._shared_path = path
@@ -119,6 +136,7 @@ def release(*caches) -> None:
     """Empties caches and hands the memory back."""
     for x in caches:
         x.clear()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hold, materialise, release, row_key, split_off
+from .common import batches_of, discard, hold, materialise, release, row_key, split_off
 
 END = b"\n"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -56,6 +56,8 @@ K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 START = np.uint64(0xA0761D6478BD642F)
 #: Characters of a unit and of a block that is scored at once; bytes of text per page.
 UNIT, BLOCK, PAGE_TEXT = 6_000_000, 2_000_000, 8 << 20
+#: Rows that a task gets at once: texts, a unit's keys of a page, a unit or counts or a block of documents.
+TEXT_ROWS, KEY_ROWS, LARGE_ROWS = 2000, 64, 4
 
 # --- units and pages ---------------------------------------------------------------------------------
 
@@ -688,12 +690,12 @@ def learn(df: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str
     page_bits = max(0, int(size // PAGE_TEXT).bit_length())
     trained = F.coalesce(allowed, F.lit(False)) & F.col(id_col).isNotNull()
     source = df.select(row_key().alias("row"), F.col(id_col).cast("long").alias("doc_id"), trained.alias("trained"), F.col(text_col).alias("text"))
-    units = materialise(source.mapInArrow(_units(page_bits), UNITS), "mixing-units", partition_by="kind")
+    units = materialise(source.mapInArrow(_units(page_bits), UNITS), "mixing-units", partition_by="kind", batch=TEXT_ROWS)
     columns = _NAMES
     texts = split_off(units, "kind", TEXTS)
     keys = units.where(f"kind <> {TEXTS}").select(*columns)
     dealt = keys.repartition("kind", "page").sortWithinPartitions("kind", "page")
-    sums = materialise(dealt.mapInArrow(_sum_pages, UNITS), "mixing-sums")
+    sums = materialise(dealt.mapInArrow(_sum_pages, UNITS), "mixing-sums", batch=KEY_ROWS)
     # From here on the keys and their shuffle only take room.
     del keys, dealt
     discard(*(split_off(units, "kind", k) for k in (TOKENS, PAIRS)))
@@ -703,7 +705,7 @@ def learn(df: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str
     distinct, total, _ = facts[TOKENS].tolist()
     back = texts.select(*columns).unionByName(sums.where("kind > 0").select(*columns)).select("unit", "kind", "data", "page")
     dealt = back.repartition("unit").sortWithinPartitions("unit", "kind", "page")
-    assembled = materialise(dealt.mapInArrow(_assemble(page_bits, total), ASSEMBLED), "mixing-documents", partition_by="kind")
+    assembled = materialise(dealt.mapInArrow(_assemble(page_bits, total), ASSEMBLED), "mixing-documents", partition_by="kind", batch=KEY_ROWS)
     del back, dealt
     discard(units, sums)
     model = Model(total, distinct)
@@ -713,13 +715,14 @@ def learn(df: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str
         dealt = counts.select("kind", "page", "data").repartition("kind", "page").sortWithinPartitions("kind", "page")
         return ((r["kind"], r["page"], np.frombuffer(r["data"], np.int64)) for r in dealt.mapInArrow(_add_up, ASSEMBLED).toLocalIterator())
 
-    for kind, page, values in added(assembled.where(f"kind IN ({DECISIONS}, {SLOT_COUNTS})")):
-        if kind == DECISIONS:
-            c = values.reshape(4, CONTEXTS, CELLS, 2) + CELL_SMOOTH
-            model.cells = np.log(c[..., 1] / c[..., 0]).astype(np.float32)
-        else:
-            half, at = len(values) // 2, slice(page * SLOT_PAGE, page * SLOT_PAGE + len(values) // 2)
-            model.n0[at], model.n1[at] = values[:half], values[half:]
+    with batches_of(spark, LARGE_ROWS):
+        for kind, page, values in added(assembled.where(f"kind IN ({DECISIONS}, {SLOT_COUNTS})")):
+            if kind == DECISIONS:
+                c = values.reshape(4, CONTEXTS, CELLS, 2) + CELL_SMOOTH
+                model.cells = np.log(c[..., 1] / c[..., 0]).astype(np.float32)
+            else:
+                half, at = len(values) // 2, slice(page * SLOT_PAGE, page * SLOT_PAGE + len(values) // 2)
+                model.n0[at], model.n1[at] = values[:half], values[half:]
     shared = spark.sparkContext.broadcast((model.n0, model.n1))
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -730,11 +733,13 @@ def learn(df: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str
                 for low in range(0, len(words), 100_000):
                     became += map_counts(words[low : low + 100_000], *shared.value)
         yield from _shipped(MAP_COUNTS, became[:, 0], became[:, 1])
+        release()
 
-    for _, page, values in added(assembled.where(f"kind = {ONCE}").select("data").mapInArrow(refine, ASSEMBLED)):
-        half = len(values) // 2
-        model.became[page * SLOT_PAGE : page * SLOT_PAGE + half] = values.reshape(2, half).T
-    return model, assembled.where(f"kind = {DOCUMENTS}").select("data")
+    with batches_of(spark, LARGE_ROWS):
+        for _, page, values in added(assembled.where(f"kind = {ONCE}").select("data").mapInArrow(refine, ASSEMBLED)):
+            half = len(values) // 2
+            model.became[page * SLOT_PAGE : page * SLOT_PAGE + half] = values.reshape(2, half).T
+    return model, split_off(assembled, "kind", DOCUMENTS)
 
 
 SCORED = "row long, doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
@@ -771,4 +776,6 @@ def train_and_score(df: DataFrame, allowed: Column, id_col: str = "doc_id", text
                 yield score_known(shared.value, _restored(data.as_py()))
         release()
 
-    return documents.mapInArrow(run, SCORED)
+    scores = materialise(documents.select("data").mapInArrow(run, SCORED), "mixing-scores", batch=LARGE_ROWS)
+    discard(documents)
+    return scores
