@@ -42,6 +42,8 @@ from .common import discard, hold, materialise, row_key, scanned
 BAND, ELEMENTS, SKETCH, BLOCK = 1.25, 3.2, 8, 512
 #: Most bits of a class's long sketch; rows and pairs that a comparing task handles at once, and bytes of sketches.
 LONG_SKETCH, ROWS_AT_ONCE, PAIRS_AT_ONCE, BYTES_AT_ONCE = 1 << 17, 20_000, 250_000, 32 << 20
+#: Texts and pairs of sets that a task gets at once.
+TEXT_ROWS, SET_ROWS = 2000, 256
 #: Rounds in which each class is proposed with its nearest one, before all remaining pairs are.
 ROUNDS = 2
 REMEMBERED = 500_000
@@ -468,7 +470,7 @@ def near_duplicates(
     """
     df = scanned(df)
     sketch_columns = [f"s{i}" for i in range(SKETCH)]
-    sets = materialise(sets_table(df, words, percent, id_col, text_col), "partenum-sets")
+    sets = materialise(sets_table(df, words, percent, id_col, text_col), "partenum-sets", batch=TEXT_ROWS)
     signs = sets.where(F.size("signs") > 0).select(F.explode("signs").alias("sign"), "key")
     buckets = materialise(
         signs.repartition("sign").sortWithinPartitions("sign", "key").mapInArrow(_buckets, "sign long, key long, pivot long"),
@@ -497,10 +499,10 @@ def near_duplicates(
             close = materialise(named.where(_near("x", "y", percent)).select("key", "pivot"), "partenum-close")
         wanted = close.select("key").union(close.select("pivot")).distinct()
         rows = members.join(wanted, "key", "left_semi").select("key", "first_row")
-        held = materialise(texts.join(rows, "first_row").select("key", "text").mapInArrow(_hashed(words), HASHES), "partenum-sets", "lz4")
+        held = materialise(texts.join(rows, "first_row").select("key", "text").mapInArrow(_hashed(words), HASHES), "partenum-sets", "lz4", batch=TEXT_ROWS)
         other = held.select(F.col("key").alias("pivot"), F.col("hashes").alias("other"))
         both = close.select("key", "pivot").join(other, "pivot").join(held, "key").select("key", "pivot", "hashes", "other")
-        found = materialise(both.mapInArrow(_chosen(_linked(percent)), "a long, b long"), "partenum-links")
+        found = materialise(both.mapInArrow(_chosen(_linked(percent)), "a long, b long"), "partenum-links", batch=SET_ROWS)
         discard(*([] if compared else [close]), held)
         return found
 
@@ -544,7 +546,7 @@ def near_duplicates(
         tested = done[0].select("key", "pivot")
         for more in done[1:]:
             tested = tested.union(more.select("key", "pivot"))
-        made = materialise(found.select("key", "pivot").distinct().join(tested, ["key", "pivot"], "left_anti"), "partenum-more")
+        made = materialise(found.select("key", "pivot").distinct().join(tested, ["key", "pivot"], "left_anti"), "partenum-more", batch=TEXT_ROWS)
         return made
 
     # Each round joins every class to its nearest one of another component, so components merge in a
