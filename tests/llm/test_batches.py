@@ -9,12 +9,11 @@ from sentrylake.llm.common import materialise
 NAME = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def sizes(batches):
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
-
-
 def test_a_written_table_bounds_its_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
     before = spark.conf.get(NAME)
     made = materialise(spark.range(0, 100, 1, 1).mapInArrow(sizes, "n long"), "batches", batch=7)
     assert sorted(r["n"] for r in made.collect()) == [2] + [7] * 14
