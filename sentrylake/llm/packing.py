@@ -32,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, materialise, row_key
+from .common import hold, materialise, release, row_key
 
 DIMS, BITS = 3, 10
 #: Ids per range; distinct whitespace-separated words remembered per worker; words sent to the tokenizer at once.
 RANGE_IDS, REMEMBERED, AT_ONCE = 4_000_000, 700_000, 4096
+#: Texts that a Python task gets at once at most.
+TEXT_ROWS = 1000
 #: Most ranges (beyond that they grow and Spark's sort spills), and ids that count as one in cutting them.
 MOST_RANGES, SHARE = 1 << 14, 512
 #: Stretch of the projected mean before it is squashed into the grid.
@@ -202,10 +204,11 @@ def tokens_table(df: DataFrame, path: str, id_col: str, text_col: str, end_id: i
         hold(__name__, known, known.parts)
         for batch in batches:
             yield from coded(batch)
+            release()  # else what a batch leaves behind is more than the words remembered
 
     def coded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for low in range(0, batch.num_rows, 2000):
-            part = batch.slice(low, 2000)
+        for low in range(0, batch.num_rows, TEXT_ROWS):
+            part = batch.slice(low, TEXT_ROWS)
             ids, curve = tokenise([x or "" for x in part.column(2).to_pylist()], path, end_id)
             keys = [
                 (c << shift) | (zlib.crc32(b"%d" % r, zlib.crc32(b)) & ((1 << shift) - 1))
@@ -253,7 +256,7 @@ class Layout:
 def pack(df: DataFrame, path: str, sequence: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> DataFrame:
     """One row per piece of a document in a sequence."""
     spark = df.sparkSession
-    tokens = materialise(tokens_table(df, path, id_col, text_col, end_id), "packing-ids")
+    tokens = materialise(tokens_table(df, path, id_col, text_col, end_id), "packing-ids", batch=TEXT_ROWS)
     n_rows, total = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
     n_ranges = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_IDS + 1), MOST_RANGES)
     n_ranges = max(1, min(n_ranges, n_rows))
@@ -270,6 +273,7 @@ def pack(df: DataFrame, path: str, sequence: int = 2048, id_col: str = "doc_id",
     layout = Layout(total, sequence)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(f"{__name__}.pieces")
         here, position = None, 0
         for batch in batches:
             out: list[tuple] = []

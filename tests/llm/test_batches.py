@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pytest
 
-from sentrylake.llm import jaccard_partenum, lm_mixing
+from sentrylake.llm import jaccard_partenum, lm_mixing, packing
 from sentrylake.llm.common import materialise
 
 NAME = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -37,3 +37,19 @@ def test_large_rows_come_in_small_batches(spark, monkeypatch, module, tags):
     else:
         assert jaccard_partenum.near_duplicates(df).count() == 9
     assert all(seen[t] <= 2000 for t in tags & set(seen)) and seen.keys() & tags
+
+
+def test_packing_gets_few_texts_at_once(spark, monkeypatch):
+    import public_tokenizers
+
+    seen = {}
+
+    def noted(df, tag, *a, batch=None, **k):
+        seen[tag] = batch
+        return materialise(df, tag, *a, batch=batch, **k)
+
+    monkeypatch.setattr(packing, "materialise", noted)
+    df = spark.createDataFrame([(k, f"one two three {k % 3}") for k in range(9)], "doc_id long, text string")
+    out = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"))
+    assert out.select("row").distinct().count() == 9
+    assert seen["packing-ids"] and seen["packing-ids"] <= 2000
