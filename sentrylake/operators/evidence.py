@@ -12,8 +12,11 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import fixed_values as V
 from . import custody
@@ -23,6 +26,9 @@ from .ledger import canonical
 LEAF = "raw string, seq long, leaf_hash string, prev_leaf_hash string, signer_key_id string, recomputed string"
 SEAL = "raw string, seal_id string, first_seq long, last_seq long, merkle_root string, prev_seal_hash string, seal_hash string, signer_key_id string, recomputed string"
 
+#: Short keys that go into a condition at most.
+FEW = 200
+
 
 def as_int(x) -> int | None:
     """An integer of untrusted JSON: no booleans, no fractions lost to infinity or NaN."""
@@ -43,50 +49,45 @@ def _text(x) -> str | None:
     return None if x is None else str(x)
 
 
-def parse_leaves(lines: DataFrame, line_col: str = "value") -> DataFrame:
-    """Raw JSON lines as checked leaves; lines that are no objects get a null hash."""
+def _parsed(lines: DataFrame, line_col: str, kind: str, values, raw: bool) -> DataFrame:
+    """Raw JSON lines as rows of ``kind``: the line, then the values of its object, null for lines that are none."""
+    schema = T.StructType(T.StructType.fromDDL(kind).fields[not raw :])
+    types = [to_arrow_type(f.dataType) for f in schema.fields]
+    nothing = (None,) * (len(types) - raw)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for line in pdf["raw"]:
+            for line in batch.column(0).to_pylist():
                 try:
                     r = json.loads(line)
                 except ValueError:
                     r = None
-                if not isinstance(r, dict):
-                    rows.append((line, None, None, None, None, None))
-                    continue
-                rows.append((line, as_int(r.get("seq")), _text(r.get("leaf_hash")), _text(r.get("prev_leaf_hash")), _text(r.get("signer_key_id")), _digest(r, V.LEAF_FIELDS)))
-            out = pd.DataFrame(rows, columns=["raw", "seq", "leaf_hash", "prev_leaf_hash", "signer_key_id", "recomputed"])
-            out["seq"] = out["seq"].astype("Int64")
-            yield out
+                rows.append(values(r) if isinstance(r, dict) else nothing)
+            columns = list(zip(*rows)) if rows else [()] * len(nothing)
+            arrays = [*([batch.column(0)] if raw else []), *(pa.array(c, type=t) for c, t in zip(columns, types[raw:]))]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return lines.where(F.trim(line_col) != "").select(F.col(line_col).alias("raw")).mapInPandas(run, LEAF)
+    return lines.where(F.trim(line_col) != "").select(F.col(line_col).cast("string").alias("raw")).mapInArrow(run, schema)
 
 
-def parse_seals(lines: DataFrame, line_col: str = "value") -> DataFrame:
-    names = [x.strip().split()[0] for x in SEAL.split(",")]
+def parse_leaves(lines: DataFrame, line_col: str = "value", raw: bool = True) -> DataFrame:
+    """Raw JSON lines as checked leaves; lines that are no objects get a null hash."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for line in pdf["raw"]:
-                try:
-                    r = json.loads(line)
-                except ValueError:
-                    r = None
-                if not isinstance(r, dict):
-                    rows.append((line, *[None] * 8))
-                    continue
-                rows.append((
-                    line, _text(r.get("seal_id")), as_int(r.get("first_seq")), as_int(r.get("last_seq")), _text(r.get("merkle_root")),
-                    _text(r.get("prev_seal_hash")), _text(r.get("seal_hash")), _text(r.get("signer_key_id")), _digest(r, V.SEAL_FIELDS),
-                ))
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({"first_seq": "Int64", "last_seq": "Int64"})
+    def values(r: dict) -> tuple:
+        return (as_int(r.get("seq")), _text(r.get("leaf_hash")), _text(r.get("prev_leaf_hash")), _text(r.get("signer_key_id")), _digest(r, V.LEAF_FIELDS))
 
-    return lines.where(F.trim(line_col) != "").select(F.col(line_col).alias("raw")).mapInPandas(run, SEAL)
+    return _parsed(lines, line_col, LEAF, values, raw)
+
+
+def parse_seals(lines: DataFrame, line_col: str = "value", raw: bool = True) -> DataFrame:
+    def values(r: dict) -> tuple:
+        return (
+            _text(r.get("seal_id")), as_int(r.get("first_seq")), as_int(r.get("last_seq")), _text(r.get("merkle_root")),
+            _text(r.get("prev_seal_hash")), _text(r.get("seal_hash")), _text(r.get("signer_key_id")), _digest(r, V.SEAL_FIELDS),
+        )
+
+    return _parsed(lines, line_col, SEAL, values, raw)
 
 
 def leaf_failures(leaves: DataFrame) -> DataFrame:
@@ -96,9 +97,9 @@ def leaf_failures(leaves: DataFrame) -> DataFrame:
     at = F.col("seq").cast("string")
     twice = numbered.groupBy("seq").count().where("count > 1").select("seq", F.lit(2).alias("check"), F.concat(F.lit("duplicate leaf seq "), at).alias("message"))
     wrong = numbered.where(~F.col("leaf_hash").eqNullSafe(F.col("recomputed"))).select("seq", F.lit(3).alias("check"), F.concat(F.lit("leaf_hash mismatch at seq "), at).alias("message"))
+    alike = _alike(numbered)
     copied = (
-        numbered.groupBy("leaf_hash").agg(F.min("seq").alias("least"), F.countDistinct("seq").alias("n")).where("n > 1")
-        .join(numbered.select("leaf_hash", "seq"), "leaf_hash").where("seq > least")
+        alike.join(alike.groupBy("leaf_hash").agg(F.min("seq").alias("least")), "leaf_hash").where("seq > least")
         .groupBy("leaf_hash").agg(F.min("seq").alias("seq"))
         .select("seq", F.lit(4).alias("check"), F.concat(F.lit("duplicate leaf_hash at seq "), at).alias("message"))
     )
@@ -107,6 +108,19 @@ def leaf_failures(leaves: DataFrame) -> DataFrame:
     return seqless.unionByName(twice).unionByName(wrong).unionByName(copied).unionByName(broken.distinct())
 
 
+def _alike(numbered: DataFrame) -> DataFrame:
+    """seq and leaf_hash of the leaves whose hash may be another number's too: those that share a short key of it.
+
+    Short keys are counted for all leaves, and as a rule none is shared, so the hashes themselves are not shuffled.
+    """
+    keyed = numbered.where("leaf_hash IS NOT NULL").select("seq", "leaf_hash", F.xxhash64("leaf_hash").alias("short"))
+    shared = keyed.groupBy("short").agg(F.min("seq").alias("a"), F.max("seq").alias("b")).where("a < b").select("short")
+    few = [r[0] for r in shared.limit(FEW + 1).collect()]
+    if len(few) > FEW:
+        return keyed.join(shared, "short", "left_semi").select("seq", "leaf_hash")
+    return keyed.where(F.col("short").isin(few) if few else F.lit(False)).select("seq", "leaf_hash")
+
+
 def _node(left: Column, right: Column) -> Column:
     return F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(left), F.unhex(right)), 256)
 
@@ -224,25 +238,36 @@ def certificate_cover(leaves: DataFrame, certificates: DataFrame) -> DataFrame:
     return leaves.alias("l").join(certificates.alias("c"), (F.col("l.signer_key_id") == F.col("c.key_id")) & valid, "left_anti")
 
 
-def seal_failures(leaves: DataFrame, seals: DataFrame, binds_content: bool, most: int = 1 << 16) -> DataFrame:
-    """first_seq, check, message of failing seals; partial ones are warnings and not here."""
-    cover = seal_coverage(leaves, seals).join(seals.select("seal_id", "merkle_root", "seal_hash", "recomputed"), "seal_id")
+def covered_seals(leaves: DataFrame, seals: DataFrame) -> DataFrame:
+    """What seal_coverage says of each seal, beside what the seal claims."""
+    return seal_coverage(leaves, seals).join(seals.select("seal_id", "merkle_root", "seal_hash", "recomputed"), "seal_id")
+
+
+def seal_failures(leaves: DataFrame, seals: DataFrame, binds_content: bool, most: int = 1 << 16, cover: DataFrame | None = None) -> DataFrame:
+    """first_seq, check, message of failing seals; partial ones are warnings and not here.
+
+    ``cover``: the covered_seals of both, which are read twice, for a caller that keeps them.
+    """
     ends = leaves.agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.countDistinct("seq").alias("n")).first()
-    c = cover.withColumns({k: F.lit(ends[k]).cast("long") for k in ("low", "high", "n")})
-    full = c.where("covered = expected").select("seal_id", "first_seq", "last_seq", "merkle_root")
+    low, high, n = (F.lit(ends[k]).cast("long") for k in ("low", "high", "n"))
+    c = covered_seals(leaves, seals) if cover is None else cover
+    full = c.where("covered = expected").select("seal_id", "first_seq", "last_seq")
     roots = merkle_roots(sealed_leaves(leaves, full), ["seal_id"], "i", "leaf_hash", most, numbered=True)
-    wrong = full.join(roots, "seal_id").where("root <> merkle_root")
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
-    out = c.where(~F.col("seal_hash").eqNullSafe(F.col("recomputed"))).select("first_seq", F.lit(1).alias("check"), text("seal_hash mismatch for seal ", F.col("seal_id")).alias("message"))
-    out = out.unionByName(wrong.select("first_seq", F.lit(2).alias("check"), text("merkle root mismatch for seal ", F.col("seal_id")).alias("message")))
-    if binds_content:
-        return out
-    part = c.where("covered <> expected")
-    window = (F.col("first_seq") >= F.col("low")) & (F.col("last_seq") <= F.col("high"))
-    gone = part.where(window).select(F.col("missing_seq").alias("first_seq"), F.lit(3).alias("check"), text("deleted leaf — seal ", F.col("seal_id"), " (missing seq ", F.col("missing_seq"), ")").alias("message"))
-    dense = F.col("n") == F.col("high") - F.col("low") + 1
-    cut = part.where(~window & dense & F.col("first_seq").between(F.col("low"), F.col("high"))).select((F.col("high") + 1).alias("first_seq"), F.lit(3).alias("check"), text("truncated log — seal ", F.col("seal_id"), " but leaves end at ", F.col("high")).alias("message"))
-    return out.unionByName(gone).unionByName(cut)
+    seal, first, last = F.col("seal_id"), F.col("first_seq"), F.col("last_seq")
+    part = F.col("covered") != F.col("expected")
+    window = (first >= low) & (last <= high)
+    found = [
+        (~F.col("seal_hash").eqNullSafe(F.col("recomputed")), first, 1, text("seal_hash mismatch for seal ", seal)),
+        ((F.col("covered") == F.col("expected")) & (F.col("root") != F.col("merkle_root")), first, 2, text("merkle root mismatch for seal ", seal)),
+    ]
+    if not binds_content:
+        gone = text("deleted leaf — seal ", seal, " (missing seq ", F.col("missing_seq"), ")")
+        cut = text("truncated log — seal ", seal, " but leaves end at ", high)
+        found.append((part & window, F.col("missing_seq"), 3, gone))
+        found.append((part & ~window & (n == high - low + 1) & first.between(low, high), high + 1, 3, cut))
+    each = F.array(*(F.when(is_so, F.struct(at.alias("first_seq"), F.lit(k).alias("check"), said.alias("message"))) for is_so, at, k, said in found))
+    return c.join(roots, "seal_id", "left").select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("f")).select("f.*")
 
 
 def manifest_mismatches(leaves: DataFrame, n_seals: int, manifest: dict) -> list[str]:
@@ -280,7 +305,7 @@ def verify_bundle(
     hostile bytes raise on the way is a failure of the bundle.
     """
     spark = leaf_lines.sparkSession
-    leaves, seals = parse_leaves(leaf_lines).cache(), parse_seals(seal_lines).cache()
+    leaves, seals = parse_leaves(leaf_lines, raw=False).cache(), parse_seals(seal_lines, raw=False).cache()
     try:
         row = _verified(leaves, seals, manifest or {}, manifest_trusted, keys or [], rotations or [], certificates or {}, signed, root)
     except Exception as e:  # noqa: BLE001 - fails closed
@@ -311,7 +336,11 @@ def _verified(leaves, seals, manifest, trusted, keys, rotations, certificates, s
     if said is None:
         binds = trusted and manifest.get("leaves_digest") is not None
         widest = seals.agg(F.max(F.col("last_seq") - F.col("first_seq") + 1)).first()[0] or 1
-        bad = seal_failures(leaves, seals, binds, min(int(widest), max(checked, 1))).orderBy("first_seq", "check").first()
+        cover = covered_seals(leaves, seals).cache()
+        try:
+            bad = seal_failures(leaves, seals, binds, min(int(widest), max(checked, 1)), cover).orderBy("first_seq", "check").first()
+        finally:
+            cover.unpersist()
         said = (bad["first_seq"], bad["message"]) if bad else None
     if said is None and trusted and (wrong := manifest_mismatches(leaves, n_seals, manifest)):
         said = (leaves.agg(F.min("seq")).first()[0], "signed manifest commits to records that are not present (" + ", ".join(wrong) + ")")

@@ -110,9 +110,12 @@ def human_decisions(df: DataFrame, decision_col: str, rule_col: str, note_col: s
 # --- chain -----------------------------------------------------------------------------------------
 
 
+_ENCODER = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
 def canonical(obj) -> bytes:
     """Sorted, compact, unescaped JSON: the form that is hashed."""
-    return json.dumps(obj, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()
+    return _ENCODER.encode(obj).encode()
 
 
 def append_lines(records: list[dict], key: bytes, seq: int = 0, tip: str = V.GENESIS) -> Iterator[str]:

@@ -830,7 +830,7 @@ UNION ALL SELECT 'odd handover', false, leaves, 0, NULL, 'key handover carries n
 )
 def bundle_verify(spark, sf_dir):
     """A bundle of all orders that holds, and what is said of it when it has been tampered with."""
-    leaves, seals = _bundle(spark, sf_dir)
+    leaves, seals = (x.cache() for x in _bundle(spark, sf_dir))  # each variant reads them
     low = leaves.agg(*(F.min(F.when(F.col("k") % 1000 == r, F.col("k"))).alias(f"r{r}") for r in (3, 20, 30))).first()
     edited = leaves.withColumn("action", F.when(F.col("k") == low["r3"], "x"))
     forged = seals.withColumn("sealed_at", F.when(F.col("k") == low["r20"], "x"))
@@ -847,6 +847,8 @@ def bundle_verify(spark, sf_dir):
         made = evidence.verify_bundle(lines(some), lines(sealed), rotations=rotations)
         made = made.select(F.lit(name).alias("variant"), "ok", "leaves_checked", "seals_checked", "first_bad_seq", "error", "attestation")
         out = made if out is None else out.unionByName(made)
+    leaves.unpersist()
+    seals.unpersist()
     return out
 
 

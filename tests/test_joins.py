@@ -68,3 +68,22 @@ def test_rule_tables_agree_with_literal_rules(spark, at_once):
     got = policy.enforce_table(docs, table, at_once=at_once).select("doc_id", "rule_id", "matched_pattern")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
     assert policy.enforce_table(docs, table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 2, 200])
+def test_copied_hashes_against_a_loop(spark, monkeypatch, few):
+    monkeypatch.setattr(evidence, "FEW", few)
+    rng = random.Random(few)
+    rows = [(i, rng.choice([None, *(f"h{k}" for k in range(300))])) for i in range(200)] + [(5, "h1"), (5, "h1"), (9, "h1")]
+    df = spark.createDataFrame(rows, "seq long, leaf_hash string").withColumns({"prev_leaf_hash": F.col("leaf_hash"), "recomputed": F.col("leaf_hash")})
+    got = sorted(r["seq"] for r in evidence.leaf_failures(df).where("check = 4").collect())
+    places = {}
+    for seq, digest in rows:
+        places.setdefault(digest, set()).add(seq)
+    assert got == sorted(sorted(at)[1] for digest, at in places.items() if digest and len(at) > 1) != []
+
+
+def test_clean_leaves_are_not_shuffled_by_their_hashes(spark):
+    df = spark.range(50).select(F.col("id").alias("seq"), F.sha2(F.col("id").cast("string"), 256).alias("leaf_hash"))
+    df = df.withColumns({"prev_leaf_hash": F.lit(None).cast("string"), "recomputed": F.col("leaf_hash")})
+    assert "hashpartitioning(leaf_hash" not in evidence.leaf_failures(df)._jdf.queryExecution().executedPlan().toString()
