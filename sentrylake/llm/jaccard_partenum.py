@@ -42,6 +42,8 @@ from .common import discard, hold, materialise, row_key, scanned
 BAND, ELEMENTS, SKETCH, BLOCK = 1.25, 3.2, 8, 512
 #: Most bits of a class's long sketch; rows and pairs that a comparing task handles at once, and bytes of sketches.
 LONG_SKETCH, ROWS_AT_ONCE, PAIRS_AT_ONCE, BYTES_AT_ONCE = 1 << 17, 20_000, 250_000, 32 << 20
+#: Largest buckets of a class by which pairs that meet in several are told, and pairs told at once.
+LARGEST, TOLD_AT_ONCE = 32, 50_000
 #: Texts and pairs of sets that a task gets at once.
 TEXT_ROWS, SET_ROWS = 2000, 256
 #: Rounds in which each class is proposed with its nearest one, before all remaining pairs are.
@@ -361,22 +363,66 @@ class Sketches:
         return left[ok], apart[left[ok]]
 
 
+#: A bucket in a class's list of its largest ones: rows, signature.
+RANK = np.dtype([("m", ">u4"), ("sign", ">i8")])
+
+
+def _largest_buckets() -> Column:
+    """A class's largest buckets by rows, then signature, as packed ``RANK`` entries; rows have m and sign."""
+    hexed = lambda x, digits: F.lpad(F.hex(x), digits, "0")
+    some = F.slice(F.sort_array(F.collect_list(F.struct("m", "sign")), asc=False), 1, LARGEST)
+    return F.unhex(F.array_join(F.transform(some, lambda b: F.concat(hexed(b["m"], 8), hexed(b["sign"], 16))), ""))
+
+
+def _met_before(ranks: np.ndarray, m: np.ndarray, sign: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether pairs of a bucket's rows share a larger one of their largest buckets, where they are compared as well.
+
+    The largest bucket that two classes share has none above it, so every pair is left in one bucket at least.
+    """
+    out = np.zeros(len(x), bool)
+    for low in range(0, len(x), TOLD_AT_ONCE):
+        a, b = x[low : low + TOLD_AT_ONCE], y[low : low + TOLD_AT_ONCE]
+        used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a_at, b_at = at[: len(a)], at[len(a) :]
+        sizes = np.fromiter(map(len, ranks[used]), dtype=np.int64, count=len(used)) // RANK.itemsize
+        listed = np.frombuffer(b"".join(ranks[used]), RANK)
+        names, name = np.unique(listed["sign"].astype(np.int64), return_inverse=True)
+        has = np.sort(np.repeat(np.arange(len(used)), sizes) * len(names) + name)
+        begin = np.cumsum(sizes) - sizes
+        n = sizes[a_at]
+        pair = np.repeat(np.arange(len(a)), n)
+        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[a_at][pair]
+        rows, which = listed["m"][entry].astype(np.int64), listed["sign"][entry].astype(np.int64)
+        own = a[pair]
+        above = (rows > m[own]) | ((rows == m[own]) & (which > sign[own]))
+        pair, entry = pair[above], entry[above]
+        wanted = b_at[pair] * len(names) + name[entry]
+        shared = has[np.minimum(np.searchsorted(has, wanted), len(has) - 1)] == wanted if len(has) else np.zeros(0, bool)
+        out[low + pair[shared]] = True
+    return out
+
+
 def _compare(percent: int, nearest: bool):
     """Pairs across components of block pairs that sizes and sketches allow, all or each member's nearest.
 
-    Columns: sign, i, j, side (0: of block i, 1: of block j), key, part, n, odd.
+    Columns: sign, i, j, side (0: of block i, 1: of block j), key, part, n, odd, m (rows of
+    the bucket), ranks (the class's largest buckets). A pair is left to the largest bucket
+    that both rank, so that what comes out does not grow with the buckets that a pair shares.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _whole_groups(batches, 3, ROWS_AT_ONCE):
-            sign, i, j, side, key, part, n, odd = columns
+            sign, i, j, side, key, part, n, odd, m, ranks = columns
             sketches = Sketches(odd)
+            top = np.frombuffer(b"".join([r[: RANK.itemsize] for r in ranks]), RANK)["sign"].astype(np.int64)
             for x, y in _partners([sign, i, j], i == j, side):
                 most = (n[x] + n[y]) * (100 - percent) // (100 + percent)
-                open_ = (part[x] != part[y]) & (np.abs(n[x] - n[y]) <= most)
+                open_ = (part[x] != part[y]) & (np.abs(n[x] - n[y]) <= most) & ((top[x] != top[y]) | (top[x] == sign[x]))
                 x, y, most = x[open_], y[open_], most[open_]
                 near, apart = sketches.near(x, y, most)
                 x, y = x[near], y[near]
+                left = ~_met_before(ranks, m, sign, x, y)
+                x, y, apart = x[left], y[left], apart[left]
                 if nearest and len(x):
                     order = np.lexsort((apart, x))
                     x, y, apart = x[order], y[order], apart[order]
@@ -516,17 +562,24 @@ def near_duplicates(
     all_rows = buckets.select("sign", "key").union(buckets.select("sign", F.col("pivot").alias("key")).distinct())
 
     def still_mixed(rows: DataFrame) -> tuple[DataFrame, int]:
-        """Rows of buckets with several components, and at most how many pairs across components they hold."""
+        """Rows of buckets with several components, and at most how many pairs across components they hold.
+
+        Of buckets with the same members one is kept: near copies share many signatures, and
+        each of their buckets would give the same pairs again.
+        """
         named = rows.join(parts, "key", "left").select("sign", "key", F.coalesce("part", "key").alias("part"))
-        m = named.groupBy("sign").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("m"))
-        mixed = materialise(named.join(m.where("low <> high").select("sign", "m"), "sign"), "partenum-mixed")
+        same = [F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"same{k}") for k in range(2)]
+        m = named.groupBy("sign").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("m"), *same)
+        m = m.where("low <> high").groupBy("m", "same0", "same1").agg(F.min("sign").alias("sign"))
+        mixed = materialise(named.join(m.select("sign", "m"), "sign"), "partenum-mixed")
         return mixed, int(mixed.agg(F.coalesce(F.sum((F.col("m") - 1) / 2), F.lit(0))).first()[0])
 
     def proposals(mixed: DataFrame, nearest: bool) -> DataFrame:
         """Untested pairs across components within buckets that still hold several."""
         rows = mixed.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
         rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        rows = rows.join(members.select("key", "n", "odd"), "key")
+        ranks = mixed.groupBy("key").agg(_largest_buckets().alias("ranks"))
+        rows = rows.join(members.select("key", "n", "odd").join(ranks, "key"), "key")
         partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("partner")
         rows = rows.select("*", partner).select(
             "sign",
@@ -537,6 +590,8 @@ def near_duplicates(
             "part",
             "n",
             "odd",
+            "m",
+            "ranks",
         )
         dealt = rows.repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j", "side")
         found = dealt.mapInArrow(_compare(percent, nearest), "key long, pivot long, by long, apart long")

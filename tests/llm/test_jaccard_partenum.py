@@ -92,3 +92,53 @@ def test_linked_sets_share_a_signature(common, only_a, only_b, percent, seed):
     linked = 100 * common >= percent * (common + apart)
     if linked and apart:
         assert len(np.intersect1d(J.signatures(a, percent), J.signatures(b, percent)))
+
+def test_a_pair_comes_from_one_of_its_buckets(spark, monkeypatch):
+    # Texts around one long passage share dozens of buckets each, but few of their pairs may be linked.
+    rng = random.Random(4)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(160)
+    rows = [(i, " ".join(fresh(24) + passage + fresh(24))) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " more words " + str(i)) for i in range(10)]
+    made, compare, tested, write = spark.sparkContext.accumulator(0), J._compare, {}, J.materialise
+
+    def noted(*given):
+        inner = compare(*given)
+
+        def run(batches):
+            for out in inner(batches):
+                made.add(out.num_rows)
+                yield out
+
+        return run
+
+    def written(df, tag, *a, **k):
+        out = write(df, tag, *a, **k)
+        if tag in ("partenum-pairs", "partenum-more"):
+            tested[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(J, "_compare", noted)
+    monkeypatch.setattr(J, "materialise", written)
+    monkeypatch.setattr(J, "ROUNDS", 0)  # all pairs at once
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.near_duplicates(df, 5, 80).collect()]
+    assert sorted(got, key=repr) == brute(rows, 5, 80)
+    assert 0 < tested["partenum-more"] <= made.value <= sum(tested.values())
+
+
+def test_largest_shared_bucket_keeps_each_pair():
+    rng = np.random.default_rng(2)
+    lists = [sorted({int(b) for b in rng.integers(1, 30, 6)}, reverse=True) for _ in range(40)]
+    size = {b: 100 + b // 3 for b in range(30)}
+    pack = lambda x: np.array(sorted(((size[b], b - 15) for b in x), reverse=True)[:3], J.RANK).tobytes()
+    seen = Counter()
+    for b in range(1, 30):
+        inside = [k for k, x in enumerate(lists) if b in x]
+        ranks = np.array([pack(lists[k]) for k in inside] + [None], object)[:-1]
+        x, y = np.triu_indices(len(inside), 1)
+        same = lambda v: np.full(len(inside), v, np.int64)
+        left = ~J._met_before(ranks, same(size[b]), same(b - 15), x, y)
+        seen.update((inside[a], inside[c]) for a, c in zip(x[left], y[left]))
+    shared = {(a, c) for a in range(40) for c in range(a + 1, 40) if set(lists[a]) & set(lists[c])}
+    assert set(seen) == shared
